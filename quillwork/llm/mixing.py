@@ -95,7 +95,8 @@ def decide(items: DataFrame, seed: int) -> DataFrame:
     for k in range(depth):
         nodes = F.greatest(F.ceil(F.col("n") / F.lit(float(FAN ** (k + 1)))), F.lit(1))
         node = F.pmod(F.xxhash64("item", F.lit(seed + k)), nodes) if k + 1 < depth else F.lit(0)
-        member = F.struct(_uniform(F.col("item"), F.lit(seed + 1000 + k)).alias("u"), "item", "p", "w")
+        # large documents first, so that what stays undecided, and the words it leaves open, get small
+        member = F.struct((-F.col("w")).alias("order"), _uniform(F.col("item"), F.lit(seed + 1000 + k)).alias("u"), "item", "p", "w")
         kind = items.schema["item"].dataType.simpleString()
         start = F.expr(f"named_struct('item', cast(null as {kind}), 'p', 0D, 'w', 0D, 'done', cast(array() as array<struct<item:{kind},up:int>>))")
         grouped = level.withColumn("node", node).groupBy("source", "n", "node").agg(F.array_sort(F.collect_list(member)).alias("members"))
