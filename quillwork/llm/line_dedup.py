@@ -241,7 +241,7 @@ def cleaned(documents: DataFrame, lost: DataFrame, text: str, doc_id: str, keep:
                     found = hashed(t, least)
                     both_ = iter(map(tuple, pairs([h for h in found if h]).tolist()))
                     kept = [line for line, h in zip(lines, found, strict=True) if h is None or next(both_) not in names]
-                out.append((b"\n".join(kept) if gone else t or b"").decode())
+                out.append(b"\n".join(kept).decode() if gone else t if t is None else t.decode())
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
             return [out, n_lines, n_dropped]
@@ -256,13 +256,23 @@ def dedup(documents: DataFrame, keep: list[str], text: str = "text", doc_id: str
 
     A key (the line stripped of ASCII white space, A-Z lowered) of at least `least` code points in at least
     `min_docs` documents stays only in the document with the largest id. Null and empty texts are one empty
-    line. Rows with the same id are one document: they count once and all keep or all lose a line. A null id
+    line and stay as they are. Rows with the same id are one document: they count once and all keep or all lose a line. A null id
     is the smallest id. Every row comes back.
     """
     repeated = cut(counted(postings(documents, text, doc_id, least)).where(F.col("n") >= min_docs), "line-counts")
     return cleaned(documents, drops(documents, repeated, text, doc_id, least), text, doc_id, keep, least)
 
 
+def clean_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
+    """The documents with their repeated lines dropped; n_chars, if there is one, follows a changed text."""
+    names = documents.columns
+    out = dedup(documents, [c for c in names if c != text], text, doc_id, **params).withColumnRenamed("ld_text", text)
+    if "n_chars" in names:
+        size = F.char_length(F.col(quoted(text))).cast(documents.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("ld_n_dropped") > 0, size).otherwise(F.col("n_chars")))
+    return out.select(*[quoted(c) for c in names])
+
+
 class LineIndex:
     """Line dedup that grows by batches and takes documents back.
 
@@ -349,6 +359,6 @@ class LineIndex:
 def contract(documents: DataFrame) -> DataFrame:
     """One row per document for op4."""
     out = dedup(documents, ["doc_id"])
-    return out.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_dropped").alias("n_dropped"), F.sha2(F.col("ld_text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("ld_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
