@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from quillwork.llm._rows import crc_mod, cut, key_text, map_text, quoted
+from quillwork.llm.near_dup import WordHashes, gram_set
 
 #: The classifier is fitted on about so many labelled documents at most, picked by a hash of their ids.
 MAX_LABELLED = 40_000
@@ -20,6 +21,12 @@ MAX_LABELLED = 40_000
 MAX_TERMS = 4_000
 #: A term's log odds less two standard errors must reach this.
 LEAST_WEIGHT = 1.5
+#: Words of the lexicon, the surest ones, that are also matched with edits.
+FUZZY_TERMS = 500
+#: A word matched with edits must be so sure.
+FUZZY_CERTAINTY = 3.0
+#: Part of a term's weight that a misspelling has.
+MISSPELLED = 0.9
 #: Lengths of word beginnings that can be terms besides whole words.
 STEMS = (4, 5, 6)
 #: Words of at least so many letters are also matched with one edit, or with two.
@@ -66,16 +73,15 @@ class Trie:
                 return best
         return max(best, self.stem[at], self.word[at])
 
-    def near(self, word: str) -> float:
-        """The largest weight of whole-word terms the word misspells: one edit for terms of ONE_EDIT letters or
-        more, two for those of TWO_EDITS or more; swapped neighbours are one edit.
+    def near(self, word: str, edits: int, least: int, swaps: bool) -> float:
+        """The largest weight of whole-word terms of `least` letters or more within `edits` of the word; with
+        swaps, two swapped neighbours are one edit.
 
         The word's Levenshtein automaton runs along the trie: its state is the set of (letters of the word
         used, edits so far), here as the row of fewest edits for each number of letters used. A branch ends
         where no state is left.
         """
         n, best = len(word), 0.0
-        edits = 2 if n >= TWO_EDITS - 2 else 1
         first = [min(i, edits + 1) for i in range(n + 1)]
         stack = [(to, c, 1, first, None, "") for c, to in self.step[0].items()]
         while stack:
@@ -83,10 +89,10 @@ class Trie:
             new = [row[0] + 1]
             for i in range(1, n + 1):
                 v = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c))
-                if before is not None and i > 1 and word[i - 1] == last and word[i - 2] == c:
+                if swaps and before is not None and i > 1 and word[i - 1] == last and word[i - 2] == c:
                     v = min(v, before[i - 2] + 1)
                 new.append(v)
-            if new[n] <= (2 if depth >= TWO_EDITS else 1 if depth >= ONE_EDIT else 0):
+            if new[n] <= edits and depth >= least:
                 best = max(best, self.word[at])
             if min(new) <= edits:
                 stack += [(to, d, depth + 1, new, row, c) for d, to in self.step[at].items()]
@@ -95,9 +101,9 @@ class Trie:
 
 @dataclass
 class Lexicon:
-    """(term, is it a stem, weight) entries and what is made of them to look words up."""
+    """(term, is it a stem, weight, match misspelled) entries and what is made of them to look words up."""
 
-    entries: list[tuple[str, bool, float]] = field(default_factory=list)
+    entries: list[tuple[str, bool, float, bool]] = field(default_factory=list)
 
     def __post_init__(self):
         self.trie = Trie()
@@ -105,47 +111,63 @@ class Lexicon:
         self.whole: set[str] = set()
         self.halves: dict[int, tuple[set[str], set[str]]] = {}
         self.thirds: dict[int, tuple[set[str], set[str], set[str]]] = {}
-        for term, stem, weight in self.entries:
+        self.fuzzy = Trie()
+        for term, stem, weight, fuzzy in self.entries:
             self.trie.add(term, stem, weight)
             if stem:
                 self.stems.setdefault(len(term), set()).add(term)
                 continue
             self.whole.add(term)
             n = len(term)
+            if not fuzzy:
+                continue
+            self.fuzzy.add(term, False, weight)
             if n >= ONE_EDIT:
                 a, b = self.halves.setdefault(n, (set(), set()))
                 a.add(term[: n // 2 - 1])
                 b.add(term[n // 2 + 1 :])
             if n >= TWO_EDITS:
-                k = n // 3
-                for part, x in zip(self.thirds.setdefault(n, (set(), set(), set())), (term[: k - 1], term[k + 1 : 2 * k - 1], term[2 * k + 1 :]), strict=True):
-                    part.add(x)
+                for part, (i, j) in zip(self.thirds.setdefault(n, (set(), set(), set())), self._cuts(n), strict=True):
+                    part.add(term[i:j])
+
+    @staticmethod
+    def _cuts(n: int) -> tuple[tuple[int, int], ...]:
+        return (0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)
 
-    def _may_be_near(self, word: str) -> bool:
-        """False only for words that no term of ONE_EDIT letters or more is near: one edit, or a swap across
-        the middle, leaves the beginning or the end of a term as it is; two edits leave one third of it."""
+    def _one_edit(self, word: str) -> bool:
+        """False only for words one edit off no term: one edit, or a swap across the middle, leaves a term's
+        beginning or its end as it is."""
         n = len(word)
         for size in range(n - 1, n + 2):
             if size in self.halves:
                 a, b = self.halves[size]
-                k, tail = size // 2 - 1, size - size // 2 - 1
-                if word[:k] in a or word[n - tail :] in b:
+                tail = size - size // 2 - 1
+                if word[: size // 2 - 1] in a or word[n - tail :] in b:
                     return True
+        return False
+
+    def _two_edits(self, word: str) -> bool:
+        """False only for words two edits off no term: two edits leave one third of a term as it is, moved by
+        two places at most."""
+        n = len(word)
         for size in range(n - 2, n + 3):
             if size in self.thirds:
-                a, b, c = self.thirds[size]
-                k = size // 3
-                if word[: k - 1] in a or word[n - (size - 2 * k - 1) :] in c or any(word[i : i + k - 2] in b for i in range(k - 1, k + 4)):
-                    return True
+                for part, (i, j) in zip(self.thirds[size], self._cuts(size), strict=True):
+                    moved = range(i, i + 1) if i == 0 else range(n - (j - i), n - (j - i) + 1) if j == size else range(i - 2, i + 3)
+                    if any(word[k : k + j - i] in part for k in moved):
+                        return True
         return False
 
     def look(self, word: str) -> tuple[float, float]:
         """Weight of a word as a term, and as a misspelled one (0 if it is a term)."""
         if word in self.whole or any(word[:n] in s for n, s in self.stems.items()):
             return self.trie.exact(word), 0.0
-        if len(word) >= ONE_EDIT - 1 and self._may_be_near(word):
-            return 0.0, self.trie.near(word)
-        return 0.0, 0.0
+        near = 0.0
+        if self.halves and self._one_edit(word):
+            near = self.fuzzy.near(word, 1, ONE_EDIT, True)
+        if self.thirds and self._two_edits(word):
+            near = max(near, self.fuzzy.near(word, 2, TWO_EDITS, False))
+        return 0.0, near
 
 
 class Words(dict):
@@ -192,16 +214,18 @@ HOWS = ("used", "mentioned", "misspelled")
 
 
 def signals(hits: list[tuple[int, int, float, str]]) -> list[float]:
-    """What the classifier sees: log(1 + sum of weights) of each way a term can stand, and a constant."""
+    """What the classifier sees: log(1 + weights) of terms used, misspelled ones counting MISSPELLED of theirs, of
+    terms mentioned and of misspelled ones, and a constant."""
     sums = dict.fromkeys(HOWS, 0.0)
     for _, _, weight, how in hits:
         sums[how] += weight
-    return [float(np.log1p(sums[h])) for h in HOWS] + [1.0]
+    shown = (sums["used"] + MISSPELLED * sums["misspelled"], sums["mentioned"], sums["misspelled"])
+    return [float(np.log1p(x)) for x in shown] + [1.0]
 
 
-#: What the fit is drawn to where there is little evidence: a term used tells much, a misspelled one nearly as
-#: much, a mention little.
-PRIOR = np.array([2.0, 0.3, 1.5, -2.5])
+#: What the fit is drawn to where there is little evidence: a term used tells much, a mention little, and a
+#: misspelling nothing beyond its share in the first.
+PRIOR = np.array([2.0, 0.3, 0.0, -2.5])
 
 
 @dataclass
@@ -227,6 +251,42 @@ def fit(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int = 25) -
     return w
 
 
+def chosen(found: list[tuple[str, bool, float, int, float]]) -> list[tuple[str, bool, float, bool]]:
+    """Of significant (term, is it a stem, weight, documents, certainty): (term, stem, weight, match misspelled).
+
+    A stem enters if it stands for much more than its most frequent word; of nested stems with nearly the
+    same documents the longest does. Words that begin with an entered stem are left out. The FUZZY_TERMS
+    surest of the words are matched with edits too.
+    """
+    words = {t: n for t, stem, _, n, _ in found if not stem}
+    most: dict[str, int] = {}
+    for t, n in words.items():
+        for k in STEMS:
+            most[t[:k]] = max(most.get(t[:k], 0), n)
+    stems: dict[str, int] = {}
+    for t, stem, _, n, _ in sorted(found, key=lambda e: (-len(e[0]), e[0])):
+        if stem and n >= 2 * most.get(t, 0):
+            inner = [s for s in stems if s.startswith(t)]
+            if not any(stems[s] >= 0.9 * n for s in inner):
+                for s in inner:
+                    del stems[s]
+                stems[t] = n
+    held = [e for e in found if (e[1] and e[0] in stems) or (not e[1] and not any(e[0][:k] in stems for k in STEMS))]
+    surest = {e[0] for e in sorted((e for e in held if not e[1] and e[4] >= FUZZY_CERTAINTY), key=lambda e: (-e[4], e[0]))[:FUZZY_TERMS]}
+    return [(t, stem, w, not stem and t in surest) for t, stem, w, _, _ in held]
+
+
+def _likeness():
+    """The smallest hash of five words in a row: copies share it, and so do most near copies."""
+    known = WordHashes()
+
+    def work(texts):
+        grams = [gram_set(t, known, 5) for t in texts]
+        return [[int(g[0].view(np.int64)) if len(g) else 0 for g in grams]]
+
+    return work
+
+
 def _terms(label_at: int):
     schema = StructType([StructField("term", StringType()), StructField("stem", LongType()), StructField("pos", LongType()), StructField("neg", LongType())])
     arrow = to_arrow_schema(schema)
@@ -258,15 +318,17 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     """A lexicon and the weights of its signals from labelled documents.
 
     Labels of 0 and 1 with an id count, the larger one where an id has several. About MAX_LABELLED ids are
-    picked by their hash, and broadcast for that bound to fetch their texts, which are written once. Terms
-    are counted by documents, with partial sums; a term enters if its log odds less two standard errors reach
+    picked by their hash, and broadcast for that bound to fetch their texts. Of texts that share their smallest
+    hash of five words one stays, so that copies don't count a term again and again. Terms are counted by documents, with partial sums; a term enters if its log odds less two standard errors reach
     LEAST_WEIGHT. Without labels or texts the lexicon is empty and the score is the prior's.
     """
     known = labels.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     n = known.count()
     picked = known.where(F.pmod(F.xxhash64(key_text(F.col("id")), F.lit(8)), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, MAX_LABELLED / max(1, n))))
     own = documents.select(F.col(quoted(doc_id)).alias("own_id"), F.col(quoted(text)).alias("text")).where("text is not null")
-    sample = cut(own.join(F.broadcast(picked), F.col("own_id") == F.col("id")).select("text", "y"), "toxic-sample")
+    labelled = map_text(own.join(F.broadcast(picked), F.col("own_id") == F.col("id")), "text", ["text", "y", "own_id"], [StructField("like", LongType())], _likeness)
+    one = labelled.groupBy("like").agg(F.min_by(F.struct("text", "y"), F.struct("own_id", "y")).alias("one"))
+    sample = cut(one.select("one.text", "one.y"), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
@@ -278,7 +340,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     sure = weight - 2 * F.sqrt(1 / a + 1 / b)
     best = counts.where("pos >= 3").withColumn("weight", weight).withColumn("sure", sure).where(F.col("sure") >= LEAST_WEIGHT)
     rows = best.orderBy(F.desc("sure"), "term", "stem").limit(MAX_TERMS).collect()
-    lexicon = Lexicon([(r["term"], bool(r["stem"]), float(r["weight"])) for r in rows])
+    lexicon = Lexicon(chosen([(r["term"], bool(r["stem"]), float(r["weight"]), r["pos"], r["sure"]) for r in rows]))
     held = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def factory():
