@@ -20,7 +20,7 @@ MAX_LABELLED = 40_000
 #: Terms of the lexicon at most, the best by how sure their weight is.
 MAX_TERMS = 4_000
 #: A term's log odds less two standard errors must reach this.
-LEAST_WEIGHT = 1.5
+LEAST_WEIGHT = 1.2
 #: Words of the lexicon, the surest ones, that are also matched with edits.
 FUZZY_TERMS = 500
 #: A word matched with edits must be so sure.
@@ -104,6 +104,8 @@ class Lexicon:
     """(term, is it a stem, weight, match misspelled) entries and what is made of them to look words up."""
 
     entries: list[tuple[str, bool, float, bool]] = field(default_factory=list)
+    #: words near a term that clean texts hold too
+    ordinary: set[str] = field(default_factory=set)
 
     def __post_init__(self):
         self.trie = Trie()
@@ -163,6 +165,8 @@ class Lexicon:
         if word in self.whole or any(word[:n] in s for n, s in self.stems.items()):
             return self.trie.exact(word), 0.0
         near = 0.0
+        if word in self.ordinary:
+            return 0.0, 0.0
         if self.halves and self._one_edit(word):
             near = self.fuzzy.near(word, 1, ONE_EDIT, True)
         if self.thirds and self._two_edits(word):
@@ -319,8 +323,10 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
 
     Labels of 0 and 1 with an id count, the larger one where an id has several. About MAX_LABELLED ids are
     picked by their hash, and broadcast for that bound to fetch their texts. Of texts that share their smallest
-    hash of five words one stays, so that copies don't count a term again and again. Terms are counted by documents, with partial sums; a term enters if its log odds less two standard errors reach
-    LEAST_WEIGHT. Without labels or texts the lexicon is empty and the score is the prior's.
+    hash of five words one stays, so that copies don't count a term again and again. Terms are counted by
+    documents, with partial sums; a term enters if its log odds less two standard errors reach LEAST_WEIGHT.
+    What looks like a misspelling but stands in a clean text is an ordinary word. Without labels or texts the
+    lexicon is empty and the score is the prior's.
     """
     known = labels.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     n = known.count()
@@ -347,15 +353,21 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
         words = Words(held.value)
 
         def work(texts):
-            return [[signals(hits_of(t.decode("utf-8", "replace"), words)) for t in texts]]
+            found = []
+            for t in texts:
+                text = t.decode("utf-8", "replace")
+                found.append([{"weight": w, "how": how, "word": text[a:b].lower()} for a, b, w, how in hits_of(text, words)])
+            return [found]
 
         return work
 
-    seen = map_text(sample, "text", ["y"], [StructField("x", ArrayType(DoubleType()))], factory)
-    grouped = seen.groupBy("y", "x").agg(F.count(F.lit(1)).alias("n")).collect()
-    x = np.array([r["x"] for r in grouped for _ in range(r["n"])])
-    y = np.array([r["y"] for r in grouped for _ in range(r["n"])], float)
-    return Model(lexicon, fit(x, y))
+    kind = ArrayType(StructType([StructField("weight", DoubleType()), StructField("how", StringType()), StructField("word", StringType())]))
+    seen = [(r["y"], [(0, 0, h["weight"], h["how"], h["word"]) for h in r["hits"]]) for r in map_text(sample, "text", ["y"], [StructField("hits", kind)], factory).where(F.size("hits") > 0).collect()]
+    lexicon.ordinary = {h[4] for y, hits in seen for h in hits if not y and h[3] == "misspelled"}
+    rest = {1: n_pos - sum(y for y, _ in seen), 0: n_neg - sum(1 - y for y, _ in seen)}
+    seen += [(y, []) for y, n in rest.items() for _ in range(n)]
+    x = np.array([signals([h[:4] for h in hits if h[3] != "misspelled" or h[4] not in lexicon.ordinary]) for _, hits in seen])
+    return Model(lexicon, fit(x, np.array([y for y, _ in seen], float)))
 
 
 _HIT = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("weight", DoubleType()), StructField("how", StringType())]))
