@@ -430,7 +430,7 @@ def test_quotation_and_abuse():
 def test_licenses(spark):
     texts = ["Under the MIT License, x. Licensed under the Apache License, Version 2.0", "cc-by-nc 4.0 CC BY NC", "", None, "Released under the MIT License.", "under the mit", "SPDX-License-Identifier: MIT"]
     out = {r.doc_id: r for r in licenses.contract(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
-    assert (out[0].n_base, out[0].first_word, out[0].last_word, out[0].base_labels) == (2, 0, 7, "apache-2,mit")
+    assert (out[0].n_base, out[0].first_word, out[0].last_word, out[0].base_labels) == (2, 0, 8, "apache-2,mit")
     assert (out[1].n_base, out[1].first_word, out[1].last_word, out[1].n_words) == (2, 0, 5, 8)
     assert (out[2].n_base, out[2].first_word, out[2].labels, out[3].score) == (0, None, "", 0.0)
     assert (out[4].base_labels, out[4].labels) == ("mit", "mit") and out[5].labels == "" and out[6].labels == "mit"
