@@ -38,17 +38,15 @@ def repeated(rows: DataFrame, by: str, mark: Column, most: int) -> DataFrame:
     return rows.withColumn("mark", mark).groupBy(by, "mark").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > most) & (F.col("mark") != ""))
 
 
-def death_classes(captions: DataFrame, markers: DataFrame, key: str, caption_id: str, start: str, end: str, marker_id: str, at: str, tolerance: float = 1.5) -> DataFrame:
-    """A caption whose middle lies within the tolerance of a hit marker is the player's kill candidate, one of a
-    clip without markers is unassociated, any other is another death's."""
+def death_classes(captions: DataFrame, markers: DataFrame, key: str, caption_id: str, start: str, end: str, marker_id: str, at: str, known: Column, tolerance: float = 1.5) -> DataFrame:
+    """A caption whose middle lies within the tolerance of a hit marker is the player's kill candidate where the
+    outcome is known, uncertain where it isn't; all others are another's death. Captions keep their columns."""
     from quillwork.operators.timeline import nearest_point
 
     mid = captions.withColumn("mid", (F.col(start) + F.col(end)) / 2)
     near = nearest_point(mid, markers, key, caption_id, "mid", marker_id, at, tolerance)
-    some = markers.select(F.col(key).alias("m_")).distinct().withColumn("any_marker", F.lit(True))
-    out = near.join(some, F.col(key) == F.col("m_"), "left")
-    kind = F.when(F.col(marker_id).isNotNull(), "player_kill_candidate").when(F.col("any_marker"), "other_death_audio").otherwise("unassociated_death_audio")
-    return out.select(key, caption_id, "gap", kind.alias("class"))
+    kind = F.when(F.col(marker_id).isNull(), "other_death_audio").when(known, "player_kill_candidate").otherwise("uncertain_death_audio")
+    return near.withColumn("class", kind).drop("mid")
 
 
 def ledger(clips: DataFrame, key: str, **evidence: DataFrame) -> DataFrame:

@@ -108,3 +108,55 @@ def needing_index(clips: DataFrame, items: DataFrame, model: str, force: bool =
     stale = items.where(~F.col("model").eqNullSafe(F.lit(model))).select("clip_id").distinct().withColumn("stale", F.lit(True))
     due = F.lit(force) | F.col("scan_status").isin("new", "changed") | F.col("status").isin("pending", "partial", "failed") | (F.trim(F.coalesce("summary", F.lit(""))) == "")
     return clips.join(stale, "clip_id", "left").where(due | F.coalesce("stale", F.lit(False))).drop("stale")
+
+
+def upsert_two_keys(target: DataFrame, source: DataFrame, first: str, second: list[str], key: str) -> DataFrame:
+    """K2: rows of source replace the row of the same `first` key, else of the same `second` keys, with all their
+    fields; others are added, with a null `key`. target has `key`; source hasn't."""
+    by_first = target.where(F.col(first).isNotNull()).select(F.col(first).alias("f_"), F.col(key).alias("k1_"))
+    by_second = target.select(*[F.col(c).alias(f"{c}_") for c in second], F.col(key).alias("k2_"))
+    found = source.join(by_first, F.col(first) == F.col("f_"), "left").join(by_second, [F.col(c) == F.col(f"{c}_") for c in second], "left")
+    new = found.withColumn(key, F.coalesce("k1_", "k2_")).select(*target.columns)
+    return target.join(new.where(F.col(key).isNotNull()).select(key), key, "left_anti").select(*target.columns).unionByName(new)
+
+
+def updated(target: DataFrame, where: Column, **values: Column) -> DataFrame:
+    """K9: the given columns of the rows that meet a condition."""
+    return target.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def emptied(*tables: DataFrame) -> list[DataFrame]:
+    """The tables without rows, to be written over them: all of them, so none keeps rows of deleted clips."""
+    return [t.limit(0) for t in tables]
+
+
+def without_clips(points: DataFrame, gone: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Points of deleted clips leave every collection."""
+    return points.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def of_size(points: DataFrame, vector: str, size: int) -> DataFrame:
+    """Points whose vectors have the collection's size; others belong to one that is made anew."""
+    return points.where(F.size(vector) == size)
+
+
+def validated(detections: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Detections of known candidates only."""
+    return detections.join(candidates.select(key).distinct(), key, "left_semi")
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Pairs by position, up to the longer one."""
+    return F.arrays_zip(a, b)
+
+
+def best_reference(scores: DataFrame, item: str, reference: str, entity: str) -> DataFrame:
+    """Of (item, reference, entity, score) the best of each reference, then of each entity."""
+    each = scores.groupBy(item, reference, entity).agg(F.max("score").alias("score"))
+    return each.groupBy(item, entity).agg(F.max("score").alias("score"))
+
+
+def in_slot_order(rows: DataFrame, slot: str, order: list[str]) -> DataFrame:
+    """By a given order of slots, unknown ones last."""
+    table = F.create_map(*[F.lit(x) for i, s in enumerate(order) for x in (s, i)])
+    return rows.orderBy(F.coalesce(F.try_element_at(table, F.col(slot)), F.lit(99)), slot)

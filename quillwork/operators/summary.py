@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def representative_frame(rows: DataFrame, clip: str, t: str, active: str, name: str, confidence: str) -> DataFrame:
     """Of each clip the moment with an active row, then most distinct names, then mean confidence, then the
-    earliest. Moments are summed before the shuffle by clip."""
-    frames = rows.groupBy(clip, t).agg(F.max(F.col(active).cast("int")).alias("any_active"), F.countDistinct(name).alias("names"), F.avg(confidence).alias("mean"))
-    w = Window.partitionBy(clip).orderBy(F.desc("any_active"), F.desc("names"), F.desc("mean"), t)
+    latest; rows without a name don't count. Moments are summed before the shuffle by clip."""
+    frames = rows.where(F.coalesce(F.col(name), F.lit("")) != "").groupBy(clip, t).agg(F.max(F.col(active).cast("int")).alias("any_active"), F.countDistinct(name).alias("names"), F.avg(confidence).alias("mean"))
+    w = Window.partitionBy(clip).orderBy(F.desc("any_active"), F.desc("names"), F.desc("mean"), F.desc(t))
     return frames.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

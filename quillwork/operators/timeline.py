@@ -152,3 +152,22 @@ def word_chunks(rows: DataFrame, key: str, words: Column, size: int = 220, overl
     n = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / step)).cast("int")
     out = w.withColumn("index", F.explode(F.sequence(F.lit(0), n)))
     return out.select(key, F.col("index").cast("long").alias("index"), F.array_join(F.slice("w", F.col("index") * step + 1, size), " ").alias("chunk"))
+
+
+def hit_timing(hits: DataFrame, segments: DataFrame, said: DataFrame, order: list[str], term: str, clip: str = "clip_id") -> DataFrame:
+    """best_timestamp, segment_start, segment_end of hits (clip, hit_id, start_time, end_time, kind).
+
+    A hit with a start keeps its own times. One of kind transcript_text or sqlite_fallback takes the first
+    utterance that holds the term, else the first one, and the bounds of the segment nearest to its start.
+    Others have none. segments: (clip, segment_id, start_sec, end_sec); said: (clip, text, start_sec, ...).
+    """
+    from quillwork.operators.summary import transcript_anchor
+
+    anchor = transcript_anchor(said.where("start_sec is not null"), clip, order, "text", F.lit(term)).select(clip, F.col("start_sec").alias("anchor"))
+    textual = F.col("kind").isin("transcript_text", "sqlite_fallback")
+    best = F.when(F.col("start_time").isNotNull(), F.col("start_time")).when(textual, F.col("anchor"))
+    timed = hits.join(anchor, clip, "left").withColumn("best_timestamp", best).drop("anchor")
+    near = nearest_interval(timed.where("best_timestamp is not null and start_time is null"), segments, clip, "hit_id", "best_timestamp", "start_sec", "end_sec", "segment_id")
+    near = near.select(F.col(clip).alias("c_"), F.col("hit_id").alias("h_"), F.col("start_sec").alias("s_"), F.col("end_sec").alias("e_"))
+    out = timed.join(near, (F.col(clip) == F.col("c_")) & (F.col("hit_id") == F.col("h_")), "left")
+    return out.withColumn("segment_start", F.coalesce("start_time", "s_")).withColumn("segment_end", F.coalesce("end_time", "start_time", "e_")).drop("c_", "h_", "s_", "e_")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import convert as C
 from quillwork.functions import text as T
 from quillwork.functions import vectors as V
-from quillwork.operators import contracts, fusion, knowledge, relational, summary, tagging, timeline
+from quillwork.operators import contracts, fusion, knowledge, ledger, relational, summary, tagging, timeline
 from quillwork.plans.views import CLIPS, DET, SCORED, TRANS, VEC, clips, cos_sql, detections, load, query_vector, transcripts, vec_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -566,7 +566,7 @@ def loud_buckets(spark, sf):
 # --- summaries ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH {DET}, f AS (SELECT clip_id, date_trunc('hour', ts) AS h, max(CAST(is_active AS INTEGER)) AS any_active, count(DISTINCT entity) AS names, floor(avg(confidence) * 1000000) AS mean FROM det GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY any_active DESC, names DESC, mean DESC, h) AS rn FROM f) SELECT clip_id, h, any_active, names FROM r WHERE rn = 1")
+@query(f"WITH {DET}, f AS (SELECT clip_id, date_trunc('hour', ts) AS h, max(CAST(is_active AS INTEGER)) AS any_active, count(DISTINCT entity) AS names, floor(avg(confidence) * 1000000) AS mean FROM det GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY any_active DESC, names DESC, mean DESC, h DESC) AS rn FROM f) SELECT clip_id, h, any_active, names FROM r WHERE rn = 1")
 def representative_frame(spark, sf):
     """A8."""
     d = detections(spark, sf).withColumn("h", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
@@ -662,12 +662,12 @@ def reference_audit(spark, sf):
 
 @query(
     f"WITH {TRANS}, m AS (SELECT conv_id AS clip_id, turn AS point_id, turn * 9.5::DOUBLE + 0.25::DOUBLE AS at FROM conversations WHERE conv_id % 3 <> 0), c AS (SELECT clip_id, turn, (start_sec + end_sec) / 2 AS mid FROM trs), g AS (SELECT c.clip_id, c.turn, min(abs(c.mid - m.at)) AS gap FROM c JOIN m USING (clip_id) GROUP BY 1, 2) "
-    "SELECT c.clip_id, c.turn, CASE WHEN gap <= 1.5 THEN 'player_kill_candidate' WHEN gap IS NOT NULL THEN 'other_death_audio' ELSE 'unassociated_death_audio' END AS class FROM c LEFT JOIN g ON g.clip_id = c.clip_id AND g.turn = c.turn"
+    "SELECT c.clip_id, c.turn, CASE WHEN gap <= 1.5 AND c.clip_id % 2 = 0 THEN 'player_kill_candidate' WHEN gap <= 1.5 THEN 'uncertain_death_audio' ELSE 'other_death_audio' END AS class FROM c LEFT JOIN g ON g.clip_id = c.clip_id AND g.turn = c.turn"
 )
 def death_vocal_classes(spark, sf):
     """C6."""
     m = _points(spark, sf).where("clip_id % 3 <> 0")
-    return contracts.death_classes(transcripts(spark, sf), m, "clip_id", "turn", "start_sec", "end_sec", "point_id", "at").select("clip_id", "turn", "class")
+    return contracts.death_classes(transcripts(spark, sf), m, "clip_id", "turn", "start_sec", "end_sec", "point_id", "at", F.col("clip_id") % 2 == 0).select("clip_id", "turn", "class")
 
 
 @query(f"WITH {DET}, c AS (SELECT DISTINCT clip_id FROM det) SELECT c.clip_id, (SELECT count(*) FROM det d WHERE d.clip_id = c.clip_id AND is_active) AS n_active, (SELECT count(*) FROM det d WHERE d.clip_id = c.clip_id AND entity = 'error') AS n_errors FROM c")
@@ -682,10 +682,54 @@ def ledger_nested(spark, sf):
 # --- knowledge ---------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, CASE WHEN contains(lower(url), 'rifle') OR contains(lower(url), 'pistol') OR contains(lower(url), 'gun') OR contains(lower(url), 'weapon') THEN 'weapon' WHEN contains(lower(url), 'tool') OR contains(lower(url), 'kit') THEN 'tool' WHEN contains(lower(url), 'map') OR contains(lower(url), '/en/') THEN 'map' WHEN contains(lower(url), 'trait') OR contains(lower(url), '/fr/') THEN 'trait' ELSE 'page' END AS kind FROM pages")
+@query(
+    "WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://[^/]+/(.*)$', 1)) AS n FROM pages) SELECT page_id, CASE WHEN starts_with(n, 'weapons/') OR starts_with(n, 'en/') THEN 'weapon' WHEN starts_with(n, 'maps/') THEN 'map' WHEN contains(n, 'ammo') THEN 'ammo' ELSE 'article' END AS kind FROM p"
+)
 def entity_infer(spark, sf):
-    """X25."""
-    return load(spark, sf, "pages").select("page_id", knowledge.entity_type(F.col("url")).alias("kind"))
+    """X25; English pages are in the category of weapons here."""
+    name = F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1)
+    categories = F.when(F.startswith(F.lower(name), F.lit("en/")), F.array(F.lit("Weapons"))).otherwise(F.array().cast("array<string>"))
+    return load(spark, sf, "pages").select("page_id", knowledge.entity_type(name, categories).alias("kind"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_type), '^(weapon 3d |weapon |tool |small |large )', ''), '[_-]+', ' ', 'g')) AS name FROM part")
+def alias_clean(spark, sf):
+    """X16 on names made from part types."""
+    name = F.concat(F.lit("/images/"), F.regexp_replace(F.lower("p_type"), "^(small |large )", "Weapon_3D_"), F.lit(".PNG?width=3"))
+    return load(spark, sf, "part").select("p_partkey", knowledge.clean_name(name).alias("name"))
+
+
+@query(
+    f"WITH {TRANS}, h AS (SELECT conv_id AS clip_id, turn, CASE WHEN turn % 3 = 0 THEN turn * 2.0::DOUBLE END AS start_time, turn % 2 = 0 AS by_text FROM conversations), "
+    "a AS (SELECT clip_id, start_sec AS anchor FROM (SELECT clip_id, start_sec, row_number() OVER (PARTITION BY clip_id ORDER BY CASE WHEN contains(lower(text), 'tion') THEN 0 ELSE 1 END, turn) AS rn FROM trs) WHERE rn = 1), "
+    "b AS (SELECT h.*, CASE WHEN start_time IS NOT NULL THEN start_time WHEN by_text THEN anchor END AS best FROM h JOIN a USING (clip_id)), "
+    "m AS (SELECT b.clip_id, b.turn, b.start_time, b.best, t.start_sec, t.end_sec, row_number() OVER (PARTITION BY b.clip_id, b.turn ORDER BY CASE WHEN b.best < t.start_sec THEN t.start_sec - b.best WHEN b.best > t.end_sec THEN b.best - t.end_sec ELSE 0 END, t.start_sec, t.turn) AS rn FROM b JOIN trs t USING (clip_id)) "
+    "SELECT clip_id, turn, best AS best_timestamp, CASE WHEN best IS NULL THEN NULL WHEN start_time IS NOT NULL THEN start_time ELSE start_sec END AS segment_start, CASE WHEN best IS NULL THEN NULL WHEN start_time IS NOT NULL THEN start_time ELSE end_sec END AS segment_end FROM m WHERE rn = 1"
+)
+def hit_timing(spark, sf):
+    """Own times, else the transcript's anchor and the segment nearest to it, else none."""
+    t = transcripts(spark, sf)
+    hits = load(spark, sf, "conversations").select(F.col("conv_id").alias("clip_id"), F.col("turn").alias("hit_id"), F.when(F.col("turn") % 3 == 0, F.col("turn") * F.lit(2.0)).alias("start_time"), F.lit(None).cast("double").alias("end_time"), F.when(F.col("turn") % 2 == 0, "transcript_text").otherwise("speech").alias("kind"))
+    segments = t.select("clip_id", F.col("turn").alias("segment_id"), "start_sec", "end_sec")
+    out = timeline.hit_timing(hits, segments, t, ["turn"], "tion")
+    return out.select("clip_id", F.col("hit_id").alias("turn"), "best_timestamp", "segment_start", "segment_end")
+
+
+@query(
+    f"WITH {DET}, e AS (SELECT clip_id, event_id, entity, t / 3600.0 AS h, row_number() OVER (PARTITION BY clip_id, round(t / 3600.0, 0), lower(entity) ORDER BY t, event_id) AS rn FROM det WHERE is_active AND t >= 0) SELECT clip_id, event_id FROM e WHERE rn = 1"
+)
+def equipment_timeline(spark, sf):
+    """One state of each name and (rounded) hour."""
+    d = detections(spark, sf).where("is_active").withColumn("h", F.round(F.col("t") / 3600.0, 0))
+    return ledger.equipment(d, "clip_id", "h", "entity", ["t", "event_id"]).select("clip_id", "event_id")
+
+
+@query(
+    f"WITH {DET}, r AS (SELECT clip_id, event_id, t, confidence, row_number() OVER (PARTITION BY clip_id ORDER BY confidence DESC, t, event_id) AS rn FROM det WHERE t <= 864000), b AS (SELECT clip_id, max(confidence) AS best, count(*) AS n_kept FROM r WHERE rn <= 3 GROUP BY 1) SELECT clip_id, best >= 0.55 AS detected, best, n_kept FROM b"
+)
+def hit_marker_query(spark, sf):
+    """Frames of a time range, the three best, detected from 0.55 on."""
+    return ledger.best_evidence(detections(spark, sf), "clip_id", "t", "confidence", "event_id", None, 864000.0, 3, 0.55).select("clip_id", "detected", "best", "n_kept")
 
 
 _ALIAS = "list_aggregate(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 1), 'string_agg', ' ')"

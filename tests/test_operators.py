@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillwork.api import Library
+from quillwork.config import Settings
 from quillwork.functions import backends, convert, text, vectors
-from quillwork.operators import contracts, fusion, knowledge, relational, summary, tagging, timeline
+from quillwork.operators import contracts, fusion, knowledge, ledger, media, relational, summary, tagging, timeline
 from quillwork.sources import files
 from quillwork.streaming import events
 
@@ -108,9 +110,31 @@ def test_nearest(spark):
 
 def test_death_classes(spark):
     said = spark.createDataFrame([(1, 1, 18.7, 19.2), (1, 2, 10.0, 10.5), (2, 1, 0.0, 1.0)], "clip int, id int, s double, e double")
-    marks = spark.createDataFrame([(1, 1, 19.1)], "clip int, m int, at double")
-    got = {(r.clip, r.id): r["class"] for r in contracts.death_classes(said, marks, "clip", "id", "s", "e", "m", "at").collect()}
-    assert got == {(1, 1): "player_kill_candidate", (1, 2): "other_death_audio", (2, 1): "unassociated_death_audio"}
+    marks = spark.createDataFrame([(1, 1, 19.1), (2, 2, 0.5)], "clip int, m int, at double")
+    got = {(r.clip, r.id): r["class"] for r in contracts.death_classes(said, marks, "clip", "id", "s", "e", "m", "at", F.col("clip") == 1).collect()}
+    assert got == {(1, 1): "player_kill_candidate", (1, 2): "other_death_audio", (2, 1): "uncertain_death_audio"}
+
+
+def test_timing(spark):
+    said = spark.createDataFrame([(1, 1, "quiet", 4.0, 5.0), (1, 2, "a final kill", 10.0, 11.0), (2, 1, "x", 22.0, 23.0)], "clip_id int, turn int, text string, start_sec double, end_sec double")
+    segments = spark.createDataFrame([(1, 1, 0.0, 4.0), (1, 2, 8.0, 12.0), (2, 1, 20.0, 24.0)], "clip_id int, segment_id int, start_sec double, end_sec double")
+    hits = spark.createDataFrame([(1, 1, 12.0, 14.5, "speech"), (1, 2, None, None, "transcript_text"), (2, 3, None, None, "sqlite_fallback"), (1, 4, None, None, "speech")], "clip_id int, hit_id int, start_time double, end_time double, kind string")
+    got = {r.hit_id: (r.best_timestamp, r.segment_start, r.segment_end) for r in timeline.hit_timing(hits, segments, said, ["turn"], "kill").collect()}
+    assert got == {1: (12.0, 12.0, 14.5), 2: (10.0, 8.0, 12.0), 3: (22.0, 20.0, 24.0), 4: (None, None, None)}
+
+
+def test_names_of_media(spark):
+    assert one(spark, knowledge.clean_name(F.lit("https://h/images/thumb/Weapon_3D_Red%20Dog.png?x=1"))) == "Red Dog"
+    assert one(spark, knowledge.skin_names(F.lit("Red Dog, Dolch 96 ,base, red dog"), F.lit("Dolch 96"))) == ["Red Dog"]
+    kinds = lambda name, *c: one(spark, knowledge.entity_type(F.lit(name), F.array(*[F.lit(x) for x in c]).cast("array<string>")))
+    assert (kinds("Weapons/Dolch"), kinds("x", "Traits"), kinds("x", "Long Ammo"), kinds("x")) == ("weapon", "trait", "ammo", "article")
+
+
+def test_visual_events(spark):
+    events_ = spark.createDataFrame([(1, "Dolch", 6.0, []), (1, "Auto-5", 6.0, ["u"]), (1, None, 1.0, []), (2, "Any", 9.0, [])], "clip int, name string, end double, uncertainties array<string>")
+    known = spark.createDataFrame([(1, "dolch")], "clip int, name string")
+    got = sorted((r.clip, r.name or "", len(r.uncertainties)) for r in ledger.visual_events(events_, known, "clip", "name", "end", F.lit(5.0)).collect())
+    assert got == [(1, "", 2), (1, "Dolch", 0), (2, "Any", 0)]
 
 
 def test_islands_treat_nulls_as_equal(spark):
@@ -195,3 +219,72 @@ def test_knowledge_frontier(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     got = {r.url: r.level for r in knowledge.frontier(links, spark.createDataFrame([("a",)], "url string"), 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
+
+
+def test_two_key_upsert(spark):
+    old = spark.createDataFrame([(1, "h1", "a", "s1"), (2, None, "b", "s2")], "id int, hash string, path string, summary string")
+    new = spark.createDataFrame([("h1", "moved", None), (None, "b", "again"), ("h9", "c", "new")], "hash string, path string, summary string")
+    got = sorted(map(tuple, relational.upsert_two_keys(old, new, "hash", ["path"], "id").collect()), key=str)
+    assert got == [(1, "h1", "moved", None), (2, None, "b", "again"), (None, "h9", "c", "new")]
+
+
+def test_media(spark):
+    import io
+    import wave
+
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(16000)
+        w.writeframes(b"\x00\x40" * 8000)
+    rows = spark.createDataFrame([("a", bytearray(buffer.getvalue())), ("b", bytearray(b"no"))], "path string, content binary")
+    got = {r.path: r for r in media.wav_info(rows).collect()}
+    assert (got["a"].rate, got["a"].seconds, got["a"].peak) == (16000, 0.5, 16384.0) and got["b"].error
+    frames = spark.createDataFrame([(1, [1.0, 5.0]), (1, [3.0, 7.0])], "k int, v array<double>")
+    assert {r.pos: (r.mean, r.std, r.median) for r in media.element_stats(frames, "k", "v").collect()} == {0: (2.0, 1.0, 2.0), 1: (6.0, 1.0, 6.0)}
+    ladder = media.budget_for(spark.createDataFrame([("full", 0, 8.5), ("embedding", 0, 9.0), ("focus", 0, 1.0)], "stage string, rung int, measured double"), media.budgets(spark))
+    assert {r.stage: (r.frames, r.pixels, r.exhausted) for r in ladder.collect()} == {"full": (64, 224000, False), "embedding": (None, None, True), "focus": (80, 320000, False)}
+
+
+def test_settings():
+    s = Settings.load({"candidate_limit": "900", "least_score": 0.5}, {"QUILLWORK_LEAST_SCORE": "oops", "QUILLWORK_INCLUDE_HIDDEN": "yes"})
+    assert (s.candidate_limit, s.least_score, s.include_hidden) == (500, 0.5, True)
+    assert s.fingerprint() == Settings.load({"candidate_limit": 500, "least_score": 0.5, "include_hidden": True}, {}).fingerprint()
+
+
+def test_library_search(spark):
+    points = spark.createDataFrame([(1, 1, "summary", [1.0, 0.0]), (2, 1, "video", [0.9, 0.1]), (3, 2, "summary", [0.0, 1.0])], "vec_id int, clip_id int, field string, embedding array<double>")
+    clips_ = spark.createDataFrame([(1, "arena", "final kill"), (2, "other", "x")], "clip_id int, group_name string, summary string")
+    tags_ = spark.createDataFrame([(1, "win"), (2, "win"), (1, "kill")], "clip_id int, tag string")
+    lib = Library(spark, points=points, clips=clips_, tags=tags_)
+    assert [r.clip_id for r in lib.search([1.0, 0.0], least=0.0).collect()] == [1, 2]
+    assert [r.clip_id for r in lib.search([1.0, 0.0], "final kill", group="arena", tags=["win", "kill"], least=0.1, top=5).collect()] == [1]
+
+
+def test_images(spark):
+    rows = [(1, "https://h/images/thumb/weapon_dolch_96.png", "Dolch 96", 100, 50), (1, "https://h/images/weapon_dolch_96.png", "x", 80, 80), (1, "https://h/images/site-logo.png", "", 900, 900), (1, "https://other/images/weapon_dolch_96.png", "", 500, 500)]
+    df = spark.createDataFrame(rows, "page int, url string, alt string, width int, height int").withColumns({"entity": F.lit("Dolch 96"), "kind": F.lit("weapon")})
+    good = df.where(knowledge.relevant_image(F.col("url"), F.lit("Dolch 96"), F.col("width"), "h", F.col("kind"), F.col("entity")))
+    assert {r.url.rsplit("/", 1)[1] for r in good.collect()} == {"weapon_dolch_96.png"}
+    best = knowledge.image_rank(df, "page", "entity", "kind", 2).orderBy("rank").collect()
+    assert [(r.image_score, r.rank) for r in best] == [(180, 1), (180, 2)] and best[0].long_side == 500
+    media_ = df.select("page", "entity", "alt", F.col("url").alias("source_url"), F.lit("Weapon_3D_Dolch_96_Red_Dog.png").alias("local_path")).limit(1)
+    assert {(r.alias, r.display) for r in knowledge.media_aliases(media_, "page", "entity").collect()} >= {("Dolch 96 Red Dog", "Dolch 96"), ("Red Dog", "Dolch 96")}
+
+
+def test_evidence(spark):
+    said = spark.createDataFrame([(1, 1, "before", 1.0, 2.0), (1, 2, " ", 6.0, 7.0), (1, 3, "after  skip", 6.0, 7.0), (1, 4, "After skip", 6.001, 7.0), (1, 5, "go go go go go go", 8.0, 9.0), (1, 6, "describe the audio", 8.0, 9.0)], "clip int, id int, text string, s double, e double")
+    kept = ledger.captions(said, "clip", "text", "s", "e", ["id"], F.lit(5.0), "(?i)describe the audio")
+    assert [(r.id, r.text) for r in kept.collect()] == [(3, "after skip")]
+    marks = ledger.hit_markers(spark.createDataFrame([(0.1, 20.0), (19.9, 20.0), (None, 20.0)], "t double, d double"), "t", "d").collect()
+    assert [(round(r.start_sec, 2), round(r.end_sec, 2)) for r in marks] == [(0.0, 0.35), (19.65, 20.0), (0.0, 0.25)]
+    screens = ledger.death_screens(spark.createDataFrame([(-1.0, " ", "x"), (2.0, None, "")], "t double, a string, b string"), "t", "a", "b").collect()
+    assert [(r.start_sec, r.a, r.b) for r in screens] == [(0.0, None, "x")]
+    assert one(spark, ledger.canonical_equipment(F.lit(" Rougarou "))) == "Mosin Obrez (Rougarou skin)"
+    assert one(spark, ledger.known_outcome(F.lit("Hunter_Killed.mp4"))) and not one(spark, ledger.known_outcome(F.lit("x"), F.lit(None).cast("string")))
+    moments = spark.createDataFrame([(1, "w", 1.0, 2.0, "a")], "clip int, window_id string, start_sec double, end_sec double, text string")
+    made = spark.createDataFrame([(1, "w", 1.5, 3.0, "b"), (1, "w", 2.0, 3.0, "c"), (1, "v", 1.0, 2.0, "d")], moments.schema)
+    assert sorted(r.text for r in ledger.injected(moments, made, "clip").collect()) == ["a", "c", "d"]
+    best = ledger.best_evidence(spark.createDataFrame([(1, i, c) for i, c in enumerate((0.5, 0.7, 0.6, 0.9))], "clip int, t int, c double"), "clip", "t", "c", "t", None, 2.0, 2, 0.55).first()
+    assert (best.detected, best.best, best.best_at, best.n_kept) == (True, 0.7, 1, 2)
