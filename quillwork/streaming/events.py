@@ -95,3 +95,36 @@ def event_frame(rows: DataFrame) -> DataFrame:
     """A server-sent event of each row (seq, kind, payload columns)."""
     data = F.to_json(F.struct(*[c for c in rows.columns if c not in ("seq", "kind")]))
     return rows.select(F.concat(F.lit("id: "), F.col("seq").cast("string"), F.lit("\nevent: "), "kind", F.lit("\ndata: "), data, F.lit("\n\n")).alias("frame"))
+
+
+def heartbeats(events: DataFrame, silence_ms: int = 15_000) -> DataFrame:
+    """(operation, kind, seq): each operation's events pass, and a `heartbeat` follows after so much silence in
+    processing time. The state of an operation is its last number."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            out = pd.DataFrame({"operation": [key[0]], "kind": ["heartbeat"], "seq": [state.get[0]]})
+        else:
+            out = pd.concat(list(frames)).sort_values("seq")[["operation", "kind", "seq"]]
+            state.update((int(out["seq"].max()),))
+        state.setTimeoutDuration(silence_ms)
+        yield out
+
+    return events.groupBy("operation").applyInPandasWithState(step, "operation string, kind string, seq long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def progress_listener(put):
+    """A listener that hands each micro-batch's progress to put(name, batch, rows)."""
+    from pyspark.sql.streaming.listener import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            put(event.progress.name, event.progress.batchId, event.progress.numInputRows)
+
+        def onQueryTerminated(self, event):
+            pass
+
+    return Listener()

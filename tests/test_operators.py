@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillwork.api import Library
 from quillwork.config import Settings
-from quillwork.functions import backends, convert, text, vectors
+from quillwork.functions import backends, convert, records, text, vectors
 from quillwork.operators import contracts, fusion, knowledge, ledger, media, relational, summary, tagging, timeline
 from quillwork.sources import files
 from quillwork.streaming import events
@@ -288,3 +288,38 @@ def test_evidence(spark):
     assert sorted(r.text for r in ledger.injected(moments, made, "clip").collect()) == ["a", "c", "d"]
     best = ledger.best_evidence(spark.createDataFrame([(1, i, c) for i, c in enumerate((0.5, 0.7, 0.6, 0.9))], "clip int, t int, c double"), "clip", "t", "c", "t", None, 2.0, 2, 0.55).first()
     assert (best.detected, best.best, best.best_at, best.n_kept) == (True, 0.7, 1, 2)
+
+
+def test_records(spark):
+    lit = F.lit
+    p = one(spark, records.pointer(lit("audio_caption"), lit("w"), lit(5.0), lit(2.0), lit(" "), lit("said")))
+    assert (p.source, p.start, p.end, p.quote) == ("audio", 5.0, 5.0, "said")
+    m = lambda **kv: F.create_map(*[lit(x) for pair in kv.items() for x in pair])
+    assert one(spark, records.merged_maps(m(a="1", b="2"), m(b="3"))) == {"a": "1", "b": "3"}
+    assert one(spark, records.first_present(m(a=" ", b="2"), ["z", "a", "b"])) == "2"
+    assert one(spark, records.compact_metadata(m(fps="60", secret="x"))) == {"fps": "60"}
+    assert one(spark, records.human_name(lit("/x/My_clip-2024-01-02.final.mp4"))) == "My clip final"
+    assert one(spark, records.numeric_noise(lit("1 2 3 4 5 6 7 8 ab"))) and not one(spark, records.numeric_noise(lit("1 2 3 4 ab cd")))
+    assert one(spark, records.clean_field(lit(" N/A "))) is None and one(spark, records.clean_field(lit(" a  b "))) == "a b"
+    assert one(spark, records.rewritten(lit("dolch pistol"), [("pistol", "gun"), ("dolch gun", "Dolch 96")])) == "Dolch 96"
+    assert [e.source for e in one(spark, records.evidence(lit('["audio","video"]')))] == ["audio", "video"]
+    assert [(e.source, e.text) for e in one(spark, records.evidence(lit('[{"source":"audio","text":"x"}]')))] == [("audio", "x")]
+    assert [e.source for e in one(spark, records.evidence(lit('"audio"')))] == ["audio"]
+    assert [e["key"] for e in one(spark, records.sorted_entries(m(bb="1", a="2", C="3"), 2))] == ["a", "C"]
+    rows = spark.createDataFrame([(1, 1, "aaaa"), (1, 2, "bbbb"), (1, 3, "c")], "k int, o int, t string")
+    assert records.packed(rows, "k", ["o"], "t", 10).count() == 2
+    assert records.with_children(spark.createDataFrame([(1,), (2,)], "k int"), rows, "k", "kids").where(F.size("kids") == 3).count() == 1
+    deaths = spark.createDataFrame([(1, 3)], "k int, at int")
+    assert records.before_first(rows, deaths, "k", "o", "at").count() == 2
+    scores = spark.createDataFrame([(1, 1.0), (2, float("nan")), (3, 2.0)], "i int, s double")
+    assert [r.i for r in records.finite_top(scores, "s", "i").collect()] == [3, 1]
+
+
+def test_library_scan(spark, tmp_path):
+    for name, body in (("a/x.mp4", b"1"), ("b/X.mp4", b"1"), ("a/x.txt", b"22"), ("c/y.mp4", b"333"), ("z.txt", b"4")):
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True)
+        p.write_bytes(body)
+    files_, groups = files.library_scan(spark, f"file:{tmp_path}")
+    assert {r.name for r in files_.where("file_hash is not null").collect()} == {"x.mp4", "X.mp4"}
+    assert {r.stem: len(r.related) for r in groups.collect()} == {"x": 2, "y": 0}
