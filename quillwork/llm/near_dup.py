@@ -26,8 +26,10 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 class WordHashes(dict):
     """64-bit hashes of words, computed once each; forgotten when there are too many."""
 
+    MOST = 300_000
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= self.MOST:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

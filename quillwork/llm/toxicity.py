@@ -178,7 +178,7 @@ class Words(dict):
     """Weights of words, looked up once each. Words without weight are only remembered as such; when too many
     are, all are forgotten, which costs time and changes nothing."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
