@@ -246,7 +246,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", window
         def work(texts, words, hits, spans, *counts):
             held = [not h or h < max_coverage * n for n, h in zip(words, hits, strict=True)]
             new = [
-                without(t, [(s["from"], s["to"]) for s in cut]).decode() if cut else t if t is None else t.decode()
+                without(t, [(s["from"], s["to"]) for s in cut]).decode("utf-8", "replace") if cut else t if t is None else t.decode("utf-8", "replace")
                 for t, cut, k in zip(texts, spans, held, strict=True)
                 if k
             ]

@@ -30,7 +30,7 @@ CHROME_WORDS = frozenset(
     "newsletter subscribe subscription sidebar breadcrumb breadcrumbs menu nav navbar navigation footer comment comments commentlist disqus "
     "replies respond share sharing social related recommended toolbar skip pagination pager".split()
 )
-OUTSIDE_WORDS = frozenset("header masthead banner topbar".split())
+OUTSIDE_WORDS = frozenset("header masthead banner topbar alert disclaimer widget login signup search announcement legal copyright".split())
 
 #: Elements nested deeper than this become siblings, as in browsers; it keeps the work linear.
 DEEPEST = 512

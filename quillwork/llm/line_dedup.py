@@ -241,7 +241,7 @@ def cleaned(documents: DataFrame, lost: DataFrame, text: str, doc_id: str, keep:
                     found = hashed(t, least)
                     both_ = iter(map(tuple, pairs([h for h in found if h]).tolist()))
                     kept = [line for line, h in zip(lines, found, strict=True) if h is None or next(both_) not in names]
-                out.append(b"\n".join(kept).decode() if gone else t if t is None else t.decode())
+                out.append(b"\n".join(kept).decode("utf-8", "replace") if gone else t if t is None else t.decode("utf-8", "replace"))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
             return [out, n_lines, n_dropped]
