@@ -285,7 +285,8 @@ def _lex(q: str, d: str) -> str:
 @query(f"WITH d AS (SELECT doc_id, {_TOK.format('text')} AS t, {_TOK.format(repr(_Q))} AS q FROM documents) SELECT doc_id, CAST({_lex('q', 't')} AS DOUBLE) AS score FROM d")
 def lexical_score(spark, sf):
     """X2, U1."""
-    return load(spark, sf, "documents").select("doc_id", T.lexical_score(T.tokens_underscore(F.lit(_Q)), T.tokens_underscore(F.col("text"))).alias("score"))
+    d = load(spark, sf, "documents").select("doc_id", T.tokens_underscore(F.col("text")).alias("t"))  # once a text
+    return d.select("doc_id", T.lexical_score(T.tokens_underscore(F.lit(_Q)), F.col("t")).alias("score"))
 
 
 @query(
@@ -298,9 +299,10 @@ def hybrid_rank(spark, sf):
     yes = F.lit(True)
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     m = fusion.metadata_score([(yes, one(F.col("lang") == "en")), (yes, one(F.col("source") == "src0"))])
-    lex = T.lexical_score(T.tokens_underscore(F.lit(_Q)), T.tokens_underscore(F.col("text")))
+    lex = T.lexical_score(T.tokens_underscore(F.lit(_Q)), F.col("t"))
     vec = (F.col("n_chars") % 100).cast("double") / 50.0 - 1
-    return load(spark, sf, "documents").select("doc_id", fusion.hybrid_score(vec, lex, m).alias("score"))
+    d = load(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source", T.tokens_underscore(F.col("text")).alias("t"))
+    return d.select("doc_id", fusion.hybrid_score(vec, lex, m).alias("score"))
 
 
 _RULES = {"the": ("the", "of the"), "en": ("en", "de la"), "le": ("le", "les", "la"), "die": ("der", "die", "das"), "toxic": ("idiot", "moron", "scum"), "license": ("license", "cc by"), "no-text": ("zz%", "q_q")}
