@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quillwork.llm._rows import cut, map_text, quoted
 
@@ -162,42 +163,77 @@ def _number(root: Node, order: dict) -> None:
         stack += [c for c in reversed(x.children) if isinstance(c, Node)]
 
 
-def hashes(root: Node, within: list[Node]) -> dict[int, int]:
-    """id of each block element that stands in no article or main element -> hash of its subtree: kinds,
-    names and texts. Where a page has neither, all its block elements count."""
-    fenced = {id(n) for n in within if n is not root}
-    around: set[int] = set()
-    for n in within:
-        up = n.parent
-        while up is not None and id(up) not in around:
-            around.add(id(up))
-            up = up.parent
-    out: dict[int, int] = {}
-    done: dict[int, tuple[str, bool]] = {}
-    stack: list[tuple[Node, bool]] = [(root, False)]
-    while stack:
-        node, ready = stack.pop()
-        if not ready:
-            stack.append((node, True))
-            stack += [(c, False) for c in node.children if isinstance(c, Node) and id(c) not in fenced]
-            continue
-        parts, seen = [node.tag, (node.attributes or {}).get("class", "")], False
-        for c in node.children:
-            if isinstance(c, str):
-                text = " ".join(c.split())
-                parts.append(text)
-                seen = seen or bool(text)
-            elif id(c) in done:
-                inner, there = done.pop(id(c))
-                parts.append(inner)
-                seen = seen or there
-            else:
-                parts.append("#")
-        body = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
-        done[id(node)] = (f"{body:x}", seen)
-        if seen and node.tag in BLOCK and node.tag not in ("html", "body") and id(node) not in around:
-            out[id(node)] = body - (1 << 64) if body >= 1 << 63 else body
-    return out
+def _least(text: str) -> int:
+    """The smallest hash of three words in a row of a text."""
+    w = text.split(" ")
+    return min(xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 2)))
+
+
+class Subtree(NamedTuple):
+    """A block element below an article, main or page root: hash of its kinds, names and texts, and its places among
+    the page's texts."""
+
+    node: int
+    hash: int
+    start: int
+    end: int
+
+
+def subtrees(root: Node, within: list[Node]) -> tuple[list[Subtree], list[str]]:
+    """The block elements inside the regions, without the regions themselves and without chrome, and the texts."""
+    out: list[Subtree] = []
+    texts: list[str] = []
+    for top in within:
+        done: dict[int, str] = {}
+        stack: list[tuple[Node | str, int]] = [(top, -1)]
+        while stack:
+            x, start = stack.pop()
+            if isinstance(x, str):
+                if text := " ".join(x.split()):
+                    texts.append(text)
+                continue
+            if start < 0:
+                if x is not top and chrome(x, top is not root):
+                    done[id(x)] = "#"
+                    continue
+                stack.append((x, len(texts)))
+                stack += [(c, -1) for c in reversed(x.children)]
+                continue
+            parts = [x.tag, (x.attributes or {}).get("class", "")]
+            parts += [" ".join(c.split()) if isinstance(c, str) else done.pop(id(c)) for c in x.children]
+            body = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
+            done[id(x)] = f"{body:x}"
+            if x is not top and x.tag in BLOCK and x.tag not in ("html", "body", "main", "article") and len(texts) > start:
+                out.append(Subtree(id(x), body - (1 << 63), start, len(texts)))
+    return out, texts
+
+
+def others(found: list[Subtree], texts: list[str]) -> list[int | None]:
+    """For each subtree the smallest hash of three words in a row of the texts outside of it, which near copies
+    mostly share; None where nothing is outside."""
+    least = [_least(t) for t in texts]
+    before, after = [None], [None]
+    for h in least:
+        before.append(h if before[-1] is None else min(before[-1], h))
+    for h in reversed(least):
+        after.append(h if after[-1] is None else min(after[-1], h))
+    after.reverse()
+    both = ([h for h in (before[f.start], after[f.end]) if h is not None] for f in found)
+    return [min(h) - (1 << 63) if h else None for h in both]
+
+
+def recurring(root: Node, within: list[Node], names: set[int]) -> set[int]:
+    """Ids of the elements whose hashes are in names; none if they hold most of an article's text, as in copies."""
+    found, texts = subtrees(root, within)
+    held = sorted((f for f in found if f.hash in names), key=lambda f: (f.start, -f.end))
+    if held and within != [root]:
+        gone, at = 0, 0
+        for f in held:
+            gone += sum(map(len, texts[max(at, f.start) : f.end]))
+            at = max(at, f.end)
+        if 2 * gone > sum(map(len, texts)):
+            return set()
+    return {f.node for f in held}
 
 
 def blocks(root: Node, within: list[Node], gone: set[int]) -> list[str]:
@@ -238,12 +274,18 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+#: A subtree recurs in copies, not in a template, if its pages have more than so many texts for each kind of other text.
+COPIES = 4
+
+
 def templates(pages: DataFrame, body: str, url: str, min_pages: int, min_share: float) -> DataFrame:
     """(host, hashes): the subtrees that recur in min_pages pages and in a share min_share of a host's pages.
 
-    Equal pages count once. Hashes are counted by host with partial sums, so a hot host costs one row for
-    each hash and task. A host's list is bounded: each entry fills min_share of its pages, so there are at
-    most as many as an average page has blocks, divided by min_share.
+    Pages count by their other text: equal pages count once, near copies mostly as one (see others), and a
+    subtree of pages that are near copies for the most part is none of a template. Hashes are counted by
+    host with partial sums, so a hot host costs one row for each hash and task. A host's list is bounded:
+    each entry fills min_share of its pages, so there are at most as many as an average page has blocks,
+    divided by min_share.
     """
 
     def factory():
@@ -251,27 +293,32 @@ def templates(pages: DataFrame, body: str, url: str, min_pages: int, min_share:
             prints, found = [], []
             for t in texts:
                 root = tree(t.decode("utf-8", "replace")) if t else None
-                prints.append(xxhash.xxh3_64_intdigest(t or b"") - (1 << 63))
-                found.append(sorted(set(hashes(root, regions(root)).values())) if root else [])
+                own, parts = subtrees(root, regions(root)) if root else ([], [])
+                prints.append(xxhash.xxh3_64_intdigest("\n".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63))
+                found.append([{"hash": h, "other": o} for h, o in {(f.hash, o) for f, o in zip(own, others(own, parts), strict=True) if o is not None}])
             return [prints, found]
 
         return work
 
     own = pages.select(host_of(F.col(quoted(url))).alias("host"), F.col(quoted(body)).alias("body"))
-    seen = cut(map_text(own, "body", ["host"], [StructField("print", LongType()), StructField("found", ArrayType(LongType()))], factory), "html-subtrees")
+    kind = ArrayType(StructType([StructField("hash", LongType()), StructField("other", LongType())]))
+    seen = cut(map_text(own, "body", ["host"], [StructField("print", LongType()), StructField("found", kind)], factory), "html-subtrees")
     per_host = seen.groupBy("host").agg(F.countDistinct("print").alias("pages"))
-    counts = seen.select("host", "print", F.explode("found").alias("hash")).groupBy("host", "hash").agg(F.countDistinct("print").alias("n"))
-    often = counts.join(per_host, "host").where((F.col("n") >= min_pages) & (F.col("n") >= F.lit(min_share) * F.col("pages")))
+    each = seen.select("host", "print", F.inline("found")).groupBy("host", "hash", "print").agg(F.min("other").alias("other"))
+    kinds = each.groupBy("host", "hash", "other").agg(F.count(F.lit(1)).alias("n"))
+    counts = kinds.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+    recur = (F.col("kinds") >= min_pages) & (F.col("n") <= COPIES * F.col("kinds"))
+    often = counts.join(per_host, "host").where(recur & (F.col("n") >= F.lit(min_share) * F.col("pages")))
     return cut(often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes")), "html-templates")
 
 
 def extract(pages: DataFrame, keep: list[str], body: str = "html", url: str = "url", min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
     """Columns `keep` and he_text: the main text of each page.
 
-    Subtrees outside of the article that recur across the host's pages go first, then what its kind or
-    names mark as menu, header, footer, sidebar, notice, advert, form, script or comment. Texts of one block
-    are joined, white space becomes one space, blocks are joined by one newline. A null or empty page has
-    the empty text; a null url is host ''. Pages stay one for one, repeated ones too.
+    Subtrees that recur across the host's pages go first, inside the article too unless they are most of it,
+    then what its kind or names mark as menu, header, footer, sidebar, notice, advert, form, script or
+    comment. Texts of one block are joined, white space becomes one space, blocks are joined by one newline.
+    A null or empty page has the empty text; a null url is host ''. Pages stay one for one, repeated ones too.
     """
     often = templates(pages, body, url, min_pages, min_share).select(F.col("host").alias("he_host_"), F.col("hashes").alias("he_hashes"))
     both = pages.withColumn("he_host", host_of(F.col(quoted(url)))).join(often, F.col("he_host") == F.col("he_host_"), "left")
@@ -285,8 +332,7 @@ def extract(pages: DataFrame, keep: list[str], body: str = "html", url: str = "u
                     continue
                 root = tree(t.decode("utf-8", "replace"))
                 within = regions(root)
-                names = set(c or ())
-                gone = {i for i, h in hashes(root, within).items() if h in names} if names else set()
+                gone = recurring(root, within, set(c)) if c else set()
                 out.append("\n".join(blocks(root, within, gone)))
             return [out]
 

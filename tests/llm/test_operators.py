@@ -285,6 +285,21 @@ def test_html_extraction(spark):
     assert html_extract.contract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_template_inside_the_article(spark):
+    """A box under an unlisted class goes from differing articles; copies and near copies of an article stay whole."""
+    rng = random.Random(11)
+    box = '<div class="zz"><p>read also our great stories</p></div>'
+    rows = [(k, f"https://b.example/{k}", f"<main><article><h1>{prose(rng, 4)}</h1><p>{prose(rng, 30)}</p>{box}<p>{prose(rng, 30)}</p></article></main>") for k in range(8)]
+    words = prose(rng, 200).split()
+    near = lambda k: " ".join([*words[: 20 * k], f"changed{k}", *words[20 * k + 1 :]])
+    rows += [(100 + k, f"https://c.example/{k}", f"<article><h1>one head</h1><p>{near(k)}</p><p>the same end of all</p></article>") for k in range(9)]
+    rows += [(200 + k, f"https://d.example/{k}", f"<article><h1>head {k}</h1><p>{near(0)}</p></article>") for k in range(9)]
+    got = {r.page_id: r.text for r in html_extract.contract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all("read also" not in got[k] and got[k].count("\n") == 2 for k in range(8))
+    assert all(got[100 + k] == f"one head\n{near(k)}\nthe same end of all" for k in range(9))
+    assert all(got[200 + k] == f"head {k}\n{near(0)}" for k in range(9))
+
+
 def test_language(spark):
     rng = random.Random(1)
     sounds = {"aa": ["kala", "mitu", "salo", "runo", "päiv"], "bb": ["strze", "gdzi", "przy", "szcz", "krzy"], "cc": ["nguy", "pham", "tran", "thuy", "phuo"]}
