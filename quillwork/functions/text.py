@@ -87,8 +87,9 @@ def title_words(t: Column, n: int = 8) -> Column:
 
 
 def signature(t: Column) -> Column:
-    """Lower case, times as <time>, no punctuation, single spaces."""
-    timed = F.regexp_replace(F.lower(t), r"[0-9]+(\.[0-9]+)?\s*(s|sec|seconds)\b", "<time>")
+    """Lower case, times as <time>, no punctuation, single spaces. A time ends before what is no letter,
+    digit or underscore of any script, written out since engines differ in what \\b and \\s mean."""
+    timed = F.regexp_replace(F.lower(t), r"[0-9]+(\.[0-9]+)?[ \t\n\x0B\f\r]*(s|sec|seconds)([^\p{L}\p{N}_]|$)", "<time>$3")
     return F.trim(F.regexp_replace(F.regexp_replace(timed, "[^a-z0-9<>]+", " "), " +", " "))
 
 

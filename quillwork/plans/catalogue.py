@@ -415,6 +415,15 @@ def sentence_signature(spark, sf):
     return load(spark, sf, "documents").where(~F.lower("text").rlike("[0-9]")).select("doc_id", F.md5(T.signature(F.col("text")).cast("binary")).alias("mark"))
 
 
+@query(
+    r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+(\.[0-9]+)?[ \t\n\x0B\f\r]*(s|sec|seconds)([^\p{L}\p{N}_]|$)', '<time>\3', 'g'), "
+    "'[^a-z0-9<>]+', ' ', 'g'), ' +', ' ', 'g'))) AS mark FROM documents"
+)
+def sentence_signature_all(spark, sf):
+    """X15, of all texts; sentence_signature keeps the rows that its SQL keeps."""
+    return load(spark, sf, "documents").select("doc_id", F.md5(T.signature(F.col("text")).cast("binary")).alias("mark"))
+
+
 @query("WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT source, md5(line) AS mark, count(*) AS n FROM l WHERE line <> '' GROUP BY source, line HAVING count(*) > 2")
 def sentence_signature_dups(spark, sf):
     """Lines that a group holds more than twice."""

@@ -56,6 +56,24 @@ def test_text(spark):
     assert one(spark, text.cut_words(F.lit("a b c"), 2)) == "a b..."
 
 
+def test_signature_of_all_documents(spark, tmp_path):
+    """Against brute force, with times, words that only begin like one, other scripts and a null."""
+    import hashlib
+    import re
+
+    import __spark_entry__ as entry
+
+    texts = ["Seen at 3.5 s, then 4 SEC\nand 12seconds.", "5s 6s 7 s_ 8 st 9 secs", "3 s\u00e9 4 s\u4e2d 5 s", "1 s\x0b2\x0bs", "no time at all", "", None, "0.25s"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(t):
+        timed = re.sub(r"[0-9]+(\.[0-9]+)?[ \t\n\x0b\f\r]*(s|sec|seconds)\b", "<time>", t.lower())
+        return hashlib.md5(re.sub(" +", " ", re.sub("[^a-z0-9<>]+", " ", timed)).strip(" ").encode()).hexdigest()
+
+    got = {r.doc_id: r.mark for r in entry.queries()["sentence_signature_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
+
+
 def test_convert(spark):
     assert one(spark, convert.signed_clamp(F.lit(-0.1))) == pytest.approx(0.45)
     assert one(spark, convert.bounded_int(F.lit("x"), 1, 5, 3)) == 3 and one(spark, convert.bounded_int(F.lit("9"), 1, 5, 3)) == 5
