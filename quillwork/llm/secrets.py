@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections import deque
+from urllib.parse import unquote_to_bytes
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -25,9 +26,14 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
+_ESCAPED = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[abtnvfr0'\"\\])[^\s\\]*)+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+_SHORT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|([abtnvfr0'\"\\]))")
+_SHORTS = dict(zip("abtnvfr0'\"\\", "\a\b\t\n\v\f\r\0'\"\\", strict=True))
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)(={0,2})(?![A-Za-z0-9+/_=-])")
+_SEPARATOR = re.compile(r"[+/_-]+")
+_MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 #: A compressed layer is unpacked to at most this many bytes, a bomb's limit; sec_partial says if it was met.
 LAYER_BYTES = 64 << 20
@@ -100,66 +106,169 @@ def _readable(body: bytes) -> bool:
     return len(text) >= 8 and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.97 * len(text)
 
 
+def _unpacked_whole(body: bytes) -> tuple[str, bytes, bool] | None:
+    """(coding, bytes, partial) of a compressed body, and of what is compressed in it; None if it is no such body."""
+    got, names, partial = _unpacked(body), [], False
+    while got:
+        body, cut = got
+        partial = partial or cut
+        names.append("packed")
+        got = _unpacked(body)
+    return (">".join(names), body, partial) if names else None
+
+
+def _begins_well(run: str) -> bool:
+    """False only for base64 that gives neither a compressed body nor UTF-8."""
+    head = base64.b64decode(run[: min(48, len(run) // 4 * 4)])
+    if _MAGIC.match(head) or head[:1] == b"\x78":
+        return True
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _of_base64(run: str) -> tuple[str, str, bool] | None:
+    """(coding, text, partial) of a run of base64; None if it holds neither a compressed body nor readable text."""
+    if len(run) % 4 == 1 or len(run) < 16 or run.isalpha() and (run.islower() or run.isupper()):
+        return None  # no whole number of bytes; or letters of one case, which no coder of 12 bytes gives
+    run = run.replace("-", "+").replace("_", "/")
+    if not _begins_well(run):
+        return None
+    body = base64.b64decode(run + "=" * (-len(run) % 4))
+    got = _unpacked_whole(body)
+    if got:
+        return f"base64>{got[0]}", _text_of(got[1]), got[2]
+    return ("base64", body.decode(), False) if _readable(body) else None
+
+
+def _runs(text: str, start: int, end: int):
+    """(start, end, found) of the base64 in text[start:end], a run without padding: the whole of it, else what lies
+    between separators that are base64 letters too, such as those of a path."""
+    whole = _of_base64(text[start:end])
+    if whole:
+        yield start, end, whole
+        return
+    marks = [m.span() for m in _SEPARATOR.finditer(text, start, end)]
+    begins = [start, *sorted({x for a, b in marks for x in range(a + 1, b + 1)})]
+    ends, at = [end, *(a for a, _ in reversed(marks))], start
+    for a in begins:
+        if a < at or end - a < 16 or not _begins_well(text[a:min(end, a + 64)].replace("-", "+").replace("_", "/")):
+            continue
+        for b in ends:
+            if b - a < 16:
+                break
+            found = _of_base64(text[a:b]) if (a, b) != (start, end) else None
+            if found:
+                yield a, b, found
+                at = b
+                break
+
+
+def _wrapped(text: str, m: re.Match) -> tuple[str, int] | None:
+    """The base64 of a run and of the lines after it that carry it on, and where they end: full lines are equally
+    long, and a shorter or padded one is the last."""
+    if m[0].endswith("="):
+        return None
+    parts, at, full = [m[0]], m.end(), 0
+    while line := _NEXT_LINE.match(text, at):
+        if len(line[1]) > (full or max(len(m[0]), 76)):
+            break
+        full = full or len(line[1])
+        parts.append(line[1])
+        at = line.end()
+        if line[2] or len(line[1]) < max(full, 16):
+            break
+    return ("".join(parts), at) if len(parts) > 1 else None
+
+
 def layers(text: str) -> list[tuple[str, str, list[int] | None, tuple[int, int], bool]]:
-    """The encoded runs of a text: (coding, decoded text, places or None, (start, end), partial)."""
+    """What is encoded in a text: (coding, decoded text, places or None, (start, end), partial). URL and Unicode
+    escapes are decoded in place, so with places the decoded text is the whole text."""
     out = []
-    if "%" in text:
+    if _PERCENT.search(text):
+        new, places = _substituted(text, 0, len(text), _PERCENT, lambda r: _text_of(bytes.fromhex(r.replace("%", ""))))
+        out.append(("url", new, places, (0, len(text)), False))
         for m in _URL.finditer(text):
-            new, places = _substituted(text, m.start(), m.end(), _PERCENT, lambda r: _text_of(bytes.fromhex(r.replace("%", ""))))
-            out.append(("url", new, places, m.span(), False))
-    if "\\" in text:
+            out += _packed_in("url", unquote_to_bytes(m[0]), m)
+    if "\\" in text and _ESCAPE.search(text):
+        new, places = _substituted(text, 0, len(text), _ESCAPE, _unescape)
+        out.append(("unicode", new, places, (0, len(text)), False))
         for m in _ESCAPED.finditer(text):
-            new, places = _substituted(text, m.start(), m.end(), _ESCAPE, _unescape)
-            out.append(("unicode", new, places, m.span(), False))
+            wide = _SHORT.sub(lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else _SHORTS[e[3]], m[0])
+            out += _packed_in("unicode", wide.encode("latin-1", "replace"), m)
+    done = 0
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1 or run.isalpha() and (run.islower() or run.isupper()):
-            continue  # no whole number of bytes; or letters of one case, which no coder of 12 bytes gives
-        try:
-            body = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        if m.start() < done:
             continue
-        got = _unpacked(body)
-        if got:
-            out.append(("base64>packed", _text_of(got[0]), None, m.span(), got[1]))
-        elif _readable(body):
-            out.append(("base64", body.decode(), None, m.span(), False))
+        joined = _wrapped(text, m)
+        if joined:
+            rest = next(_runs(joined[0], 0, len(joined[0])), None)
+            if rest and rest[1] == len(joined[0]) and rest[0] < len(m[0]):
+                name, new, partial = rest[2]
+                done = joined[1]
+                out.append((name, new, None, (m.start() + rest[0], done), partial))
+                continue
+        run = m.start() + len(m[0].rstrip("="))
+        for a, b, (name, new, partial) in _runs(text, m.start(), run):
+            out.append((name, new, None, (a, m.end() if b == run else b), partial))
     return out
 
 
+def _packed_in(coding: str, body: bytes, m: re.Match) -> list:
+    """The first compressed body in the bytes of an escaped run, as a layer."""
+    for at in _MAGIC.finditer(body):
+        got = _unpacked_whole(body[at.start() :])
+        if got and got[1]:
+            return [(f"{coding}>{got[0]}", _text_of(got[1]), None, m.span(), got[2])]
+    return []
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int, bool]:
     """Base spans; further spans found under encodings; layers read; whether one was cut at LAYER_BYTES.
 
-    A worklist starts with the text. Each layer is scanned, and every encoded run in it is decoded to a new
-    layer, until none is left. A layer that was read before is not read again, which ends cycles. Spans are
-    carried back to the original text: through URL and Unicode escapes character by character, through
-    base64 and compression to the encoded run. Kinds of further spans name the path, as in base64>assign.
+    A worklist starts with the text. Each layer is scanned, and what is encoded in it is decoded to a new
+    layer, until none is left. URL and Unicode escapes are decoded where they stand, so what surrounds them
+    counts; what a layer shares with the one it is made of is not told again. A layer that was read before is
+    not read again, which ends cycles. Spans are carried back to the original text: through URL and Unicode
+    escapes character by character, through base64 and compression to the encoded run. Kinds of further
+    spans name the path, as in base64>assign.
     """
     base = base_spans(text)
     known, more, partial, n = set(base), [], False, 0
+    told = {(0, *s) for s in base}  # in the body it stands in, 0 being the text, numbers by layer else
     seen: set[bytes] = set()
-    work = deque((coding, new, places, span, cut) for coding, new, places, span, cut in layers(text))
+    work: deque = deque()
+
+    def spread(path: str, layer: str, places: list[int] | None, whole: int, run: tuple[int, int] | None) -> None:
+        for coding, new, inner, (a, b), cut in layers(layer):
+            if inner:
+                work.append((f"{path}{coding}", new, [places[i] for i in inner] if places else inner, whole, run, cut))
+            else:
+                at = run or ((places[a], places[b]) if places else (a, b))
+                work.append((f"{path}{coding}", new, None, -1, at, cut))
+
+    spread("", text, None, 0, None)
     while work:
-        path, layer, places, (start, end), cut = work.popleft()
+        path, layer, places, whole, run, cut = work.popleft()
         partial = partial or cut
-        mark = hashlib.blake2b(f"{start}:{end}:{layer}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        mark = hashlib.blake2b(f"{run}:{whole if places else ''}:{layer}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if mark in seen:
             continue
         seen.add(mark)
         n += 1
-
-        def back(a: int, b: int, places=places, start=start, end=end) -> tuple[int, int]:
-            return (places[a], places[b]) if places else (start, end)
-
+        whole = n if whole < 0 else whole
         for a, b, kind in base_spans(layer):
-            at = back(a, b)
+            own = (places[a], places[b]) if places else (a, b)
+            at = run or own
+            if (whole, *own, kind) in told:
+                continue
+            told.add((whole, *own, kind))
             if (*at, kind) not in known and (*at, f"{path}>{kind}") not in known:
                 known.add((*at, f"{path}>{kind}"))
                 more.append((*at, f"{path}>{kind}"))
-        for coding, new, inner, (a, b), was_cut in layers(layer):
-            at = back(a, b)
-            own = [places[i] for i in inner] if places and inner else None
-            work.append((f"{path}>{coding}", new, own, at, was_cut))
+        spread(f"{path}>", layer, places, whole, run)
     return base, more, n, partial
 
 

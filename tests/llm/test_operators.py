@@ -338,6 +338,34 @@ def test_secrets(spark):
     assert urllib.parse.unquote(texts[4][start:end]).startswith("api_key")
 
 
+def test_secrets_in_their_surroundings():
+    """Keys before a space, glued prefixes and ends, wrapped lines, and compressed bytes under every coding."""
+    import base64
+    import gzip
+    import textwrap
+    import urllib.parse
+
+    found = lambda text: [(text[a:b], k) for a, b, k in secrets.scan(text)[1]]
+    assert found("my password: hunter%32secret now") == [("password: hunter%32secret", "url>assign")]
+    assert found('{"password": "\\u0068\\u0075nter2secret"}') == [('password": "\\u0068\\u0075nter2secret', "unicode>assign")]
+    inner = 'api_key = "Zx81kkQq77aaBB" and some more words of text after it, enough for lines'
+    plain = base64.b64encode(inner.encode()).decode().rstrip("=")
+    for text in (f"https://host.example/x/{plain}", f"key-{plain}", f"a_b-{plain}/tail"):
+        assert found(text) == [(plain, "base64>assign")], text
+    rng = random.Random(4)
+    packed = gzip.compress((prose(rng, 400) + " " + inner).encode())
+    lines = "\n".join(textwrap.wrap(base64.b64encode(packed).decode(), 76))
+    assert found(f"see\n{lines}\nend of mail") == [(lines, "base64>packed>assign")]
+    cut = "\r\n".join(textwrap.wrap(base64.b64encode(b"x" * 49 + inner.encode()).decode(), 76))
+    assert found(f"{cut}\r\n\r\nend") == [(cut, "base64>assign")]
+    url, escapes = urllib.parse.quote_from_bytes(packed, safe=""), "".join(f"\\x{c:02x}" for c in packed)
+    assert (url, "url>packed>assign") in found(f"see {url} here")
+    assert [k for _, k in found(f"see {escapes} here")] == ["unicode>packed>assign"]
+    assert found("x " + base64.b64encode(gzip.compress(packed)).decode())[0][1] == "base64>packed>packed>assign"
+    mixed = f"100%25 of \\u0041ll: secret = abcdefgh1 {plain}"
+    assert found(mixed) == [(plain, "base64>assign")]
+
+
 def test_telephony():
     rng = np.random.default_rng(3)
     for kind, n in ((telephony.MULAW, 1000), (telephony.ALAW, 999), (telephony.PCM, 500)):
