@@ -17,14 +17,8 @@ from quillwork.llm.near_dup import WordHashes, gram_set
 
 #: The classifier is fitted on about so many labelled documents at most, picked by a hash of their ids.
 MAX_LABELLED = 40_000
-#: Terms of the lexicon at most, the best by how sure their weight is.
-MAX_TERMS = 4_000
 #: A term's log odds less two standard errors must reach this.
 LEAST_WEIGHT = 1.2
-#: Words of the lexicon, the surest ones, that are also matched with edits.
-FUZZY_TERMS = 500
-#: A word matched with edits must be so sure.
-FUZZY_CERTAINTY = 3.0
 #: Part of a term's weight that a misspelling has.
 MISSPELLED = 0.9
 #: Lengths of word beginnings that can be terms besides whole words.
@@ -40,6 +34,8 @@ POINTED = frozenset("you your yours youre u ur he she they him her them all such
 _OPEN, _CLOSE = "\"'“‘«(`", "\"'”’»)`"
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Words with digits or mask marks inside, each of which stands for any letter.
+_MASKED = re.compile(r"[^\W\d_]+(?:[0-9*@$#!]{1,3}[^\W\d_]+)+")
 
 
 class Trie:
@@ -99,6 +95,17 @@ class Trie:
         return best
 
 
+    def masked(self, word: str) -> float:
+        """The largest weight of whole-word terms that the word is, its digits and marks being any letter."""
+        at = [0]
+        for c in word:
+            if c.isalpha():
+                at = [self.step[k][c] for k in at if c in self.step[k]]
+            else:
+                at = [to for k in at for to in self.step[k].values()]
+        return max((self.word[k] for k in at), default=0.0)
+
+
 @dataclass
 class Lexicon:
     """(term, is it a stem, weight, match misspelled) entries and what is made of them to look words up."""
@@ -164,11 +171,11 @@ class Lexicon:
         """Weight of a word as a term, and as a misspelled one (0 if it is a term)."""
         if word in self.whole or any(word[:n] in s for n, s in self.stems.items()):
             return self.trie.exact(word), 0.0
-        near = 0.0
         if word in self.ordinary:
             return 0.0, 0.0
+        near = 0.0 if word.isalpha() else self.fuzzy.masked(word)
         if self.halves and self._one_edit(word):
-            near = self.fuzzy.near(word, 1, ONE_EDIT, True)
+            near = max(near, self.fuzzy.near(word, 1, ONE_EDIT, True))
         if self.thirds and self._two_edits(word):
             near = max(near, self.fuzzy.near(word, 2, TWO_EDITS, False))
         return 0.0, near
@@ -197,9 +204,13 @@ def hits_of(text: str, words: Words) -> list[tuple[int, int, float, str]]:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not any(words[w] for w in set(_WORD.findall(low))):
+    masked = [(m.start(), m.end(), m[0]) for m in _MASKED.finditer(low) if words[m[0]]]
+    if not masked and not any(words[w] for w in set(_WORD.findall(low))):
         return []
     places = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(low)]
+    if masked:
+        within = {k for a, b, _ in masked for k in range(a, b)}
+        places = sorted([p for p in places if p[0] not in within] + masked)
     out = []
     for i, (a, b, w) in enumerate(places):
         found = words[w]
@@ -259,8 +270,8 @@ def chosen(found: list[tuple[str, bool, float, int, float]]) -> list[tuple[str,
     """Of significant (term, is it a stem, weight, documents, certainty): (term, stem, weight, match misspelled).
 
     A stem enters if it stands for much more than its most frequent word; of nested stems with nearly the
-    same documents the longest does. Words that begin with an entered stem are left out. The FUZZY_TERMS
-    surest of the words are matched with edits too.
+    same documents the longest does. All words enter, those that begin with an entered stem too, and are
+    matched with edits.
     """
     words = {t: n for t, stem, _, n, _ in found if not stem}
     most: dict[str, int] = {}
@@ -275,9 +286,7 @@ def chosen(found: list[tuple[str, bool, float, int, float]]) -> list[tuple[str,
                 for s in inner:
                     del stems[s]
                 stems[t] = n
-    held = [e for e in found if (e[1] and e[0] in stems) or (not e[1] and not any(e[0][:k] in stems for k in STEMS))]
-    surest = {e[0] for e in sorted((e for e in held if not e[1] and e[4] >= FUZZY_CERTAINTY), key=lambda e: (-e[4], e[0]))[:FUZZY_TERMS]}
-    return [(t, stem, w, not stem and t in surest) for t, stem, w, _, _ in held]
+    return [(t, stem, w, not stem) for t, stem, w, _, _ in found if not stem or t in stems]
 
 
 def _likeness():
@@ -324,7 +333,8 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     Labels of 0 and 1 with an id count, the larger one where an id has several. About MAX_LABELLED ids are
     picked by their hash, and broadcast for that bound to fetch their texts. Of texts that share their smallest
     hash of five words one stays, so that copies don't count a term again and again. Terms are counted by
-    documents, with partial sums; a term enters if its log odds less two standard errors reach LEAST_WEIGHT.
+    documents, with partial sums; a term enters if its log odds less two standard errors reach LEAST_WEIGHT;
+    the sample bounds their number.
     What looks like a misspelling but stands in a clean text is an ordinary word. Without labels or texts the
     lexicon is empty and the score is the prior's.
     """
@@ -345,7 +355,7 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     weight = F.log(a / (n_pos + 1)) - F.log(b / (n_neg + 1))
     sure = weight - 2 * F.sqrt(1 / a + 1 / b)
     best = counts.where("pos >= 3").withColumn("weight", weight).withColumn("sure", sure).where(F.col("sure") >= LEAST_WEIGHT)
-    rows = best.orderBy(F.desc("sure"), "term", "stem").limit(MAX_TERMS).collect()
+    rows = best.orderBy(F.desc("sure"), "term", "stem").collect()
     lexicon = Lexicon(chosen([(r["term"], bool(r["stem"]), float(r["weight"]), r["pos"], r["sure"]) for r in rows]))
     held = sample.sparkSession.sparkContext.broadcast(lexicon)
 

@@ -470,6 +470,18 @@ def test_quotation_and_abuse():
     assert how('the word "moron" means a fool') == ["mentioned"] and how("you are such a moron") == ["used"] and how("you maron") == ["misspelled"]
 
 
+def test_misspellings_of_all_words():
+    """Words under a stem, unsure ones and any number of them are met misspelled, and with digits or marks inside."""
+    many = [(f"{w}{v}", False, 2.0, 4, 1.3) for w in WORDS for v in WORDS[:12]]
+    found = toxicity.chosen([("moron", True, 5.0, 90, 4.0), ("moronic", False, 4.0, 9, 2.0), ("idiot", False, 4.0, 5, 1.5), ("shit", False, 4.0, 5, 1.5), *many])
+    words = toxicity.Words(toxicity.Lexicon(found))
+    hits = lambda x: [(x[a:b], how) for a, b, _, how in toxicity.hits_of(x, words)]
+    assert hits("a moornic man") == [("moornic", "misspelled")]
+    assert hits("you id1ot, sh*t and 1diots a1b") == [("id1ot", "misspelled"), ("sh*t", "misspelled")]
+    assert all(words[t[:2] + "q" + t[3:]] for t, *_ in many) and len(many) > 500
+    assert toxicity.hits_of("un1ted state!", words) == []
+
+
 def test_licenses(spark):
     texts = ["Under the MIT License, x. Licensed under the Apache License, Version 2.0", "cc-by-nc 4.0 CC BY NC", "", None, "Released under the MIT License.", "under the mit", "SPDX-License-Identifier: MIT"]
     out = {r.doc_id: r for r in licenses.contract(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
