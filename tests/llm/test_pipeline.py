@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from quillwork.llm import mixing
-from tests.llm.test_operators import BENCH, DOC, LABELS, brute_hits, brute_near, documents, prose, toxic_rows
+from tests.llm.test_llm_operators import BENCH, DOC, LABELS, brute_hits, brute_near, documents, prose, toxic_rows
 
 
 @pytest.fixture(scope="module")
