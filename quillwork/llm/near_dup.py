@@ -28,7 +28,7 @@ class WordHashes(dict):
 
     MOST = 300_000
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         if len(self) >= self.MOST:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
