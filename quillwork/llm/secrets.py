@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import base64
 import bz2
-import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
-from urllib.parse import unquote_to_bytes
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quillwork.llm._rows import map_text
 
@@ -24,19 +25,27 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
-_URL = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPED = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[abtnvfr0'\"\\])[^\s\\]*)+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-_SHORT = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|([abtnvfr0'\"\\]))")
-_SHORTS = dict(zip("abtnvfr0'\"\\", "\a\b\t\n\v\f\r\0'\"\\", strict=True))
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|([abtnvfr0'\"\\/]))")
+#: The same through any number of codings of the sign itself, for texts that are coded again and again.
+_PERCENTS = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_ESCAPES = re.compile(r"\\(?:u005[Cc]|x5[Cc])*(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|([abtnvfr0'\"\\/]))")
+AGAIN = 3
+_SHORTS = dict(zip("abtnvfr0'\"\\/", "\a\b\t\n\v\f\r\0'\"\\/", strict=True))
+#: The shortest secret has 14 letters (token= and 8 more), which 18 letters of base64 cannot hold.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)(={0,2})(?![A-Za-z0-9+/_=-])")
-_SEPARATOR = re.compile(r"[+/_-]+")
-_MAGIC = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_URL_SAFE = str.maketrans("-_", "+/")
+_MAGIC = re.compile(r"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_WIDE = re.compile(r"[\x20-\x7e](?:\x00[\x20-\x7e]){13,}")
+#: Decoded bytes without any of these hold no secret and nothing encoded that could hold one.
+_WORTH = re.compile(
+    rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\|[A-Za-z0-9+/_-]{16}|\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd"
+    rb"|[\x20-\x7e](?:\x00[\x20-\x7e]){13}"
+)
 
-#: A compressed layer is unpacked to at most this many bytes, a bomb's limit; sec_partial says if it was met.
-LAYER_BYTES = 64 << 20
+#: A compressed body is unpacked and scanned in pieces of this size, which begin OVERLAP before the last one ends.
+PIECE, OVERLAP = 16 << 20, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -48,228 +57,238 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _text_of(body: bytes) -> str:
-    try:
-        return body.decode()
-    except UnicodeDecodeError:
-        return body.decode("latin-1")
-
-
-def _substituted(text: str, start: int, end: int, units: re.Pattern, decode) -> tuple[str, list[int]]:
-    """text[start:end] with every match of units decoded; places[i] is where character i begins, and one more."""
-    parts, places, at = [], [], start
-    for m in units.finditer(text, start, end):
-        parts.append(text[at : m.start()])
-        places += range(at, m.start())
-        new = decode(m[0])
-        width = m.end() - m.start()
-        parts.append(new)
-        places += [m.start() + width * i // max(1, len(new)) for i in range(len(new))]
-        at = m.end()
-    parts.append(text[at:end])
-    places += range(at, end)
-    return "".join(parts), [*places, end]
-
-
-def _unescape(run: str) -> str:
-    units = re.findall(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", run)
-    wide = "".join(chr(int(a or b, 16)) for a, b in units)
-    return wide.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-
-
-def _unpacked(body: bytes) -> tuple[bytes, bool] | None:
-    """What a compressed body holds, and whether it was cut at LAYER_BYTES; None if it is no such body."""
-    try:
-        if body[:2] == b"\x1f\x8b" or body[:1] == b"\x78" and len(body) > 2 and (body[0] << 8 | body[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-            return d.decompress(body, LAYER_BYTES), bool(d.unconsumed_tail)
-        if body[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            return d.decompress(body, LAYER_BYTES), not d.eof
-        if body[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-            return d.decompress(body, LAYER_BYTES), not d.eof
-        if body[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(body) as r:
-                out = r.read(LAYER_BYTES)
-                return out, len(out) == LAYER_BYTES
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
-        pass
-    return None
-
-
-def _readable(body: bytes) -> bool:
-    try:
-        text = body.decode()
-    except UnicodeDecodeError:
-        return False
-    return len(text) >= 8 and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.97 * len(text)
-
-
-def _unpacked_whole(body: bytes) -> tuple[str, bytes, bool] | None:
-    """(coding, bytes, partial) of a compressed body, and of what is compressed in it; None if it is no such body."""
-    got, names, partial = _unpacked(body), [], False
-    while got:
-        body, cut = got
-        partial = partial or cut
-        names.append("packed")
-        got = _unpacked(body)
-    return (">".join(names), body, partial) if names else None
-
-
-def _begins_well(run: str) -> bool:
-    """False only for base64 that gives neither a compressed body nor UTF-8."""
-    head = base64.b64decode(run[: min(48, len(run) // 4 * 4)])
-    if _MAGIC.match(head) or head[:1] == b"\x78":
-        return True
-    try:
-        codecs.getincrementaldecoder("utf-8")().decode(head)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
-def _of_base64(run: str) -> tuple[str, str, bool] | None:
-    """(coding, text, partial) of a run of base64; None if it holds neither a compressed body nor readable text."""
-    if len(run) % 4 == 1 or len(run) < 16 or run.isalpha() and (run.islower() or run.isupper()):
-        return None  # no whole number of bytes; or letters of one case, which no coder of 12 bytes gives
-    run = run.replace("-", "+").replace("_", "/")
-    if not _begins_well(run):
-        return None
-    body = base64.b64decode(run + "=" * (-len(run) % 4))
-    got = _unpacked_whole(body)
-    if got:
-        return f"base64>{got[0]}", _text_of(got[1]), got[2]
-    return ("base64", body.decode(), False) if _readable(body) else None
-
-
-def _runs(text: str, start: int, end: int):
-    """(start, end, found) of the base64 in text[start:end], a run without padding: the whole of it, else what lies
-    between separators that are base64 letters too, such as those of a path."""
-    whole = _of_base64(text[start:end])
-    if whole:
-        yield start, end, whole
-        return
-    marks = [m.span() for m in _SEPARATOR.finditer(text, start, end)]
-    begins = [start, *sorted({x for a, b in marks for x in range(a + 1, b + 1)})]
-    ends, at = [end, *(a for a, _ in reversed(marks))], start
-    for a in begins:
-        if a < at or end - a < 16 or not _begins_well(text[a:min(end, a + 64)].replace("-", "+").replace("_", "/")):
-            continue
-        for b in ends:
-            if b - a < 16:
-                break
-            found = _of_base64(text[a:b]) if (a, b) != (start, end) else None
-            if found:
-                yield a, b, found
-                at = b
-                break
+class Layer(NamedTuple):
+    """A text to scan. Decoded bytes are Latin-1 text, one character a byte, which the patterns, all ASCII, read alike.
 
+    `starts` and `ends` tell for each character what part of the original it comes from (None: itself);
+    with `run`, all characters come from that part. Layers of one `whole` are the same text with escapes
+    decoded in place.
+    """
 
-def _wrapped(text: str, m: re.Match) -> tuple[str, int] | None:
-    """The base64 of a run and of the lines after it that carry it on, and where they end: full lines are equally
-    long, and a shorter or padded one is the last."""
-    if m[0].endswith("="):
-        return None
-    parts, at, full = [m[0]], m.end(), 0
-    while line := _NEXT_LINE.match(text, at):
-        if len(line[1]) > (full or max(len(m[0]), 76)):
-            break
-        full = full or len(line[1])
-        parts.append(line[1])
-        at = line.end()
-        if line[2] or len(line[1]) < max(full, 16):
-            break
-    return ("".join(parts), at) if len(parts) > 1 else None
-
-
-def layers(text: str) -> list[tuple[str, str, list[int] | None, tuple[int, int], bool]]:
-    """What is encoded in a text: (coding, decoded text, places or None, (start, end), partial). URL and Unicode
-    escapes are decoded in place, so with places the decoded text is the whole text."""
-    out = []
-    if _PERCENT.search(text):
-        new, places = _substituted(text, 0, len(text), _PERCENT, lambda r: _text_of(bytes.fromhex(r.replace("%", ""))))
-        out.append(("url", new, places, (0, len(text)), False))
-        for m in _URL.finditer(text):
-            out += _packed_in("url", unquote_to_bytes(m[0]), m)
-    if "\\" in text and _ESCAPE.search(text):
-        new, places = _substituted(text, 0, len(text), _ESCAPE, _unescape)
-        out.append(("unicode", new, places, (0, len(text)), False))
-        for m in _ESCAPED.finditer(text):
-            wide = _SHORT.sub(lambda e: chr(int(e[1] or e[2], 16)) if e[1] or e[2] else _SHORTS[e[3]], m[0])
-            out += _packed_in("unicode", wide.encode("latin-1", "replace"), m)
+    path: str
+    text: str
+    starts: np.ndarray | None
+    ends: np.ndarray | None
+    run: tuple[int, int] | None
+    whole: int
+
+    def at(self, a: int, b: int) -> tuple[int, int]:
+        if self.run:
+            return self.run
+        return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
+
+    def mark(self) -> bytes:
+        """What tells layers apart: the text, and where it comes from."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        h.update(f"{self.at(0, len(self.text)) if self.text else self.run}".encode())
+        return h.digest()
+
+    def inner(self, coding: str, text: str, starts: np.ndarray, ends: np.ndarray, whole: int) -> Layer:
+        """A layer made of this one, from places in its text."""
+        path = f"{self.path}>{coding}" if self.path else coding
+        if self.run:
+            return Layer(path, text, None, None, self.run, whole)
+        if self.starts is not None:
+            starts, ends = self.starts[starts], self.ends[ends - 1]
+        return Layer(path, text, starts, ends, None, whole)
+
+
+def _in_place(layer: Layer, coding: str, units: re.Pattern, decode) -> Layer:
+    """The layer with each match of units replaced by one character."""
+    text, parts, starts, ends, at = layer.text, [], [], [], 0
+    for m in units.finditer(text):
+        a, b = m.span()
+        parts += (text[at:a], decode(m))
+        starts += (np.arange(at, a + 1),)
+        ends += (np.arange(at + 1, a + 1), np.array([b]))
+        at = b
+    parts.append(text[at:])
+    starts.append(np.arange(at, len(text)))
+    ends.append(np.arange(at + 1, len(text) + 1))
+    return layer.inner(coding, "".join(parts), np.concatenate(starts), np.concatenate(ends), layer.whole)
+
+
+def _unescaped(m: re.Match) -> str:
+    return chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _SHORTS[m[3]]
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """(letters, places) of each run of base64: with the lines after it that carry it on, if it ends a line. Full
+    lines are equally long, and a shorter or padded one is the last."""
     done = 0
     for m in _BASE64.finditer(text):
         if m.start() < done:
             continue
-        joined = _wrapped(text, m)
-        if joined:
-            rest = next(_runs(joined[0], 0, len(joined[0])), None)
-            if rest and rest[1] == len(joined[0]) and rest[0] < len(m[0]):
-                name, new, partial = rest[2]
-                done = joined[1]
-                out.append((name, new, None, (m.start() + rest[0], done), partial))
+        spans, at, full = [m.span()], m.end(), 0
+        while line := _NEXT_LINE.match(text, at):
+            size = len(line[1])
+            if size > (full or max(len(m[0]), 76)):
+                break
+            full = full or size
+            spans.append(line.span(1))
+            at = line.end()
+            if line[2] or size < max(full, 16):
+                break
+        done = spans[-1][1]
+        yield "".join(text[a:b] for a, b in spans), np.concatenate([np.arange(a, b) for a, b in spans])
+
+
+def _of_base64(layer: Layer, whole: Iterator[int]) -> Iterator[Layer]:
+    """What runs of base64 say. Letters before the beginning, such as those of a path, only move it: reading from
+    each of the first four letters meets every beginning, and what isn't base64 gives bytes that say nothing."""
+    for letters, places in _runs(layer.text):
+        plain = letters.translate(_URL_SAFE)
+        for first in range(min(4, len(plain) - 15)):
+            size = len(plain) - first
+            body = base64.b64decode(plain[first:] + ("=" * (-size % 4) if size % 4 != 1 else "A=="))
+            if not _WORTH.search(body):
                 continue
-        run = m.start() + len(m[0].rstrip("="))
-        for a, b, (name, new, partial) in _runs(text, m.start(), run):
-            out.append((name, new, None, (a, m.end() if b == run else b), partial))
-    return out
+            bits = np.arange(len(body)) * 8
+            ends = np.minimum(first + (bits + 7) // 6, len(places) - 1)
+            yield layer.inner("base64", body.decode("latin-1"), places[first + bits // 6], places[ends] + 1, next(whole))
 
 
-def _packed_in(coding: str, body: bytes, m: re.Match) -> list:
-    """The first compressed body in the bytes of an escaped run, as a layer."""
-    for at in _MAGIC.finditer(body):
-        got = _unpacked_whole(body[at.start() :])
-        if got and got[1]:
-            return [(f"{coding}>{got[0]}", _text_of(got[1]), None, m.span(), got[2])]
-    return []
+def _decoder(head: bytes):
+    if head[:2] == b"\x1f\x8b" or head[:1] == b"x":
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:1] == b"\xfd":
+        return lzma.LZMADecompressor()
+    return zstandard.ZstdDecompressor().decompressobj()
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int, bool]:
-    """Base spans; further spans found under encodings; layers read; whether one was cut at LAYER_BYTES.
+def _unpacked(source: Iterator[bytes]) -> Iterator[tuple[bytes, int]]:
+    """(bytes, input bytes read so far) of a compressed body and of those that follow it at once; what comes before
+    an error counts."""
+    rest, read, d = b"", 0, None
+    try:
+        for chunk in source:
+            rest += chunk
+            while rest:
+                if d is None:
+                    if read and not _MAGIC.match(rest[:6].decode("latin-1")):
+                        return
+                    d = _decoder(rest)
+                zstd = not isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor, type(zlib.decompressobj())))
+                part = rest[: 512 if zstd else 1 << 16]
+                out = d.decompress(part) if zstd else d.decompress(part, PIECE)
+                used = len(part) - len(d.unused_data) - (len(d.unconsumed_tail) if hasattr(d, "unconsumed_tail") else 0)
+                rest, read = rest[used:], read + used
+                if out:
+                    yield out, read
+                while not d.eof and not getattr(d, "needs_input", True):
+                    yield d.decompress(b"", PIECE), read
+                if d.eof:
+                    d = None
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError, ValueError):
+        return
+
 
-    A worklist starts with the text. Each layer is scanned, and what is encoded in it is decoded to a new
-    layer, until none is left. URL and Unicode escapes are decoded where they stand, so what surrounds them
-    counts; what a layer shares with the one it is made of is not told again. A layer that was read before is
-    not read again, which ends cycles. Spans are carried back to the original text: through URL and Unicode
-    escapes character by character, through base64 and compression to the encoded run. Kinds of further
-    spans name the path, as in base64>assign.
+def _pieces(source: Callable[[], Iterator[bytes]]) -> Iterator[tuple[bytes, int]]:
+    """The unpacked body in pieces of PIECE bytes that overlap."""
+    held, read, new = bytearray(), 0, False
+    for out, read in _unpacked(source()):
+        held += out
+        new = True
+        while len(held) > PIECE:
+            yield bytes(held[:PIECE]), read
+            del held[: PIECE - OVERLAP]
+            new = len(held) > OVERLAP
+    if new:
+        yield bytes(held), read
+
+
+def _of_packed(layer: Layer, raw: Callable[[], Iterator[bytes]] | None, whole: Iterator[int]) -> Iterator[tuple[Layer, Callable | None]]:
+    """What compressed bodies hold, wherever in the layer they begin. raw gives all bytes of which the layer is a piece."""
+    body, past = None, 0
+    for m in _MAGIC.finditer(layer.text):
+        if m.start() < past:
+            continue
+        if body is None:
+            body = memoryview(layer.text.encode("latin-1", "replace"))
+        at = m.start()
+
+        def rest(at=at, body=body) -> Iterator[bytes]:
+            return (bytes(body[k : k + (1 << 16)]) for k in range(at, len(body), 1 << 16))
+
+        def longer(at=at) -> Iterator[bytes]:
+            skip = at
+            for chunk in raw():
+                yield chunk[skip:]
+                skip = max(0, skip - len(chunk))
+
+        source = longer if raw else rest
+        read = None
+        for piece, used in _pieces(source):
+            if read is None:
+                read = used if len(piece) < PIECE else max((u for _, u in _unpacked(source())), default=used)
+                if layer.run is None:
+                    past = at + read
+            name = f"{layer.path}>packed" if layer.path else "packed"
+            run = layer.run or layer.at(at, min(at + read, len(layer.text)))
+            if _WORTH.search(piece):
+                yield Layer(name, piece.decode("latin-1"), None, None, run, next(whole)), lambda source=source: (x for x, _ in _unpacked(source()))
+
+
+def _of_wide(layer: Layer, whole: Iterator[int]) -> Iterator[Layer]:
+    """UTF-16 in decoded bytes, of either order."""
+    for m in _WIDE.finditer(layer.text):
+        at = np.arange(m.start(), m.end(), 2)
+        yield layer.inner("utf16", m[0][::2], at, at + 1, next(whole))
+
+
+def layers(layer: Layer, raw: Callable[[], Iterator[bytes]] | None, whole: Iterator[int]) -> Iterator[tuple[Layer, Callable | None]]:
+    """What is encoded in a layer."""
+    text = layer.text
+    yield from ((x, None) for x in _of_base64(layer, whole))
+    yield from _of_packed(layer, raw, whole)
+    if layer.path and "\x00" in text:
+        yield from ((x, None) for x in _of_wide(layer, whole))
+    if "%" in text and _PERCENT.search(text):
+        yield _in_place(layer, "url", _PERCENTS if layer.path.count("url") >= AGAIN else _PERCENT, lambda m: chr(int(m[1], 16))), None
+    if "\\" in text and _ESCAPE.search(text):
+        yield _in_place(layer, "unicode", _ESCAPES if layer.path.count("unicode") >= AGAIN else _ESCAPE, _unescaped), None
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
+    """Base spans; further spans found under encodings; layers read.
+
+    A worklist starts with the text. Each layer is scanned, and all that is encoded in it gives further
+    layers, until none is left: every coding is looked for in every layer. URL and Unicode escapes are
+    decoded where they stand, so what surrounds them counts; what a layer shares with the one it is made of
+    is not told again. A layer that was read before is not read again, which ends cycles. The worklist is
+    a stack, so only the layers above the one in hand are in memory, and a compressed body is read in pieces of
+    bounded size, whatever it unpacks to. Spans are carried back to the original text: through escapes,
+    base64 and UTF-16 letter by letter, through compression to the compressed body. Kinds of further spans
+    name the path, as in base64>assign.
     """
     base = base_spans(text)
-    known, more, partial, n = set(base), [], False, 0
-    told = {(0, *s) for s in base}  # in the body it stands in, 0 being the text, numbers by layer else
+    known, more, n = set(base), [], 0
+    told = {(0, *s) for s in base}
     seen: set[bytes] = set()
-    work: deque = deque()
-
-    def spread(path: str, layer: str, places: list[int] | None, whole: int, run: tuple[int, int] | None) -> None:
-        for coding, new, inner, (a, b), cut in layers(layer):
-            if inner:
-                work.append((f"{path}{coding}", new, [places[i] for i in inner] if places else inner, whole, run, cut))
-            else:
-                at = run or ((places[a], places[b]) if places else (a, b))
-                work.append((f"{path}{coding}", new, None, -1, at, cut))
-
-    spread("", text, None, 0, None)
-    while work:
-        path, layer, places, whole, run, cut = work.popleft()
-        partial = partial or cut
-        mark = hashlib.blake2b(f"{run}:{whole if places else ''}:{layer}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    whole = iter(range(1, 1 << 62))
+    stack = [layers(Layer("", text, None, None, None, 0), None, whole)]
+    while stack:
+        layer, raw = next(stack[-1], (None, None))
+        if layer is None:
+            stack.pop()
+            continue
+        mark = layer.mark()
         if mark in seen:
             continue
         seen.add(mark)
         n += 1
-        whole = n if whole < 0 else whole
-        for a, b, kind in base_spans(layer):
-            own = (places[a], places[b]) if places else (a, b)
-            at = run or own
-            if (whole, *own, kind) in told:
+        for a, b, kind in base_spans(layer.text):
+            at = layer.at(a, b)
+            if (layer.whole, *at, kind) in told:
                 continue
-            told.add((whole, *own, kind))
-            if (*at, kind) not in known and (*at, f"{path}>{kind}") not in known:
-                known.add((*at, f"{path}>{kind}"))
-                more.append((*at, f"{path}>{kind}"))
-        spread(f"{path}>", layer, places, whole, run)
-    return base, more, n, partial
+            told.add((layer.whole, *at, kind))
+            if (*at, kind) not in known and (*at, f"{layer.path}>{kind}") not in known:
+                known.add((*at, f"{layer.path}>{kind}"))
+                more.append((*at, f"{layer.path}>{kind}"))
+        stack.append(layers(layer, raw, whole))
+    return base, more, n
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -286,7 +305,6 @@ FIELDS = [
     StructField("sec_spans", StringType()),
     StructField("sec_found", _SPAN),
     StructField("sec_layers", LongType()),
-    StructField("sec_partial", BooleanType()),
 ]
 
 
@@ -299,9 +317,9 @@ def find(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame
     def work(texts):
         cols: list[list] = [[] for _ in FIELDS]
         for t in texts:
-            base, more, n, partial = scan(t.decode("utf-8", "replace")) if t else ([], [], 0, False)
+            base, more, n = scan(t.decode("utf-8", "replace")) if t else ([], [], 0)
             found = [{"kind": k, "start": a, "end": b} for a, b, k in sorted(base + more)]
-            row = (*(sum(k == kind for _, _, k in base) for kind in KINDS), _joined(base), _joined(base + more), found, n, partial)
+            row = (*(sum(k == kind for _, _, k in base) for kind in KINDS), _joined(base), _joined(base + more), found, n)
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
         return cols
@@ -311,8 +329,6 @@ def find(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 
 def contract(documents: DataFrame) -> DataFrame:
     """One row per document for op6."""
-    from pyspark.sql import functions as F
-
     out = find(documents, ["doc_id"])
     return out.select(
         "doc_id",

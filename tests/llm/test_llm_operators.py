@@ -300,6 +300,61 @@ def test_html_template_inside_the_article(spark):
     assert all(got[200 + k] == f"head {k}\n{near(0)}" for k in range(9))
 
 
+def brute_templates(pages, min_pages=5, min_share=0.05):
+    """The main text of (host, html) pages, told with dictionaries over all subtrees of all pages."""
+    read = [html_extract.read(h) for _, h in pages]
+    size = lambda p, f: sum(map(len, p.blocks[f.start : f.end]))
+    kinds, hosts = {}, {}
+    for (host, body), p in {x: p for x, p in zip(pages, read, strict=True)}.items():
+        hosts[host] = hosts.get(host, 0) + 1
+        own = {}
+        for f, o in zip(p.subtrees, html_extract.others(p.subtrees, p.blocks, near_dup.WordHashes()), strict=True):
+            if o is not None:
+                had = own.get(f.hash, (o, False))
+                own[f.hash] = (min(o, had[0]), had[1] or size(p, f) >= html_extract.LONG)
+        for h, (o, long) in own.items():
+            kinds.setdefault((host, h), []).append((o, long))
+    often = {(h, x) for (h, x), os in kinds.items() if (k := len({o for o, _ in os})) >= min_pages and len(os) <= html_extract.COPIES * k and (any(y for _, y in os) or len(os) >= min_share * hosts[h])}
+    out = []
+    for (host, _), p in zip(pages, read, strict=True):
+        gone = {i for f in p.subtrees if (host, f.hash) in often for i in range(f.start, f.end)}
+        kept = [b for i, b in enumerate(p.blocks) if i not in gone]
+        out.append("\n".join(p.blocks if p.framed and 2 * sum(map(len, kept)) < sum(map(len, p.blocks)) else kept))
+    return out
+
+
+def test_html_against_brute_force(spark):
+    """Random pages of shared and own parts on three hosts, of which one holds most pages; copies; ties."""
+    rng = random.Random(21)
+    shared = [f'<div class="k{k}"><p>{prose(rng, 3 + 4 * (k % 3))}</p></div>' for k in range(8)]
+    rows = []
+    for k in range(160):
+        host = rng.choice(["a", "a", "a", "b", "c"])
+        parts = [f"<p>{prose(rng, rng.randrange(2, 30))}</p>" for _ in range(rng.randrange(1, 4))] + rng.sample(shared, rng.randrange(3))
+        rng.shuffle(parts)
+        frame = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<body>{}"])
+        rows.append((k, f"https://{host}.example/{k}", frame.format("".join(parts))))
+    rows += [(200 + k, "https://a.example/x", rows[3][2]) for k in range(9)] + [rows[0], rows[0]]
+    want = sorted(zip([r[0] for r in rows], brute_templates([(r[1].split("/")[2], r[2]) for r in rows]), strict=True))
+    bare = sorted((r[0], "\n".join(html_extract.read(r[2]).blocks)) for r in rows)
+    got = sorted((r.page_id, r.text) for r in html_extract.contract(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == want and sum(a != b for a, b in zip(want, bare, strict=True)) > 20
+
+
+def test_html_names_and_nesting():
+    """Names that say what a text is about stay; math stays; main beats teasers; any depth, in time that grows evenly."""
+    text = lambda page: "\n".join(html_extract.read(page).blocks)
+    kept = '<h2 id="related-work">Related work</h2><h2 id="sharing-menu-costs">Costs</h2><p class="social-policy">Policy</p><p id="comment-policy">More</p><p>Let <math>x</math> be</p>'
+    gone = "".join(f'<div {x}>GONE</div>' for x in ('class="comment-list"', 'id="comments"', 'class="shareButtons"', 'class="x related-articles"', 'class="cookie-notice"', 'role="navigation"', "hidden"))
+    assert text(f"<article>{kept}{gone}</article>") == "Related work\nCosts\nPolicy\nMore\nLet x be"
+    assert text('<main><div>Main story of some length</div><article class="teaser">Teaser card</article></main>') == "Main story of some length\nTeaser card"
+    assert text("<main><p>a</p><article>The whole story</article></main>") == "The whole story"
+    assert text("<form><article><p>a<form>q</form></article></form>") == "a"
+    assert text("<article>" + "<div>" * 600 + "<nav>MENU</nav>deep") == "deep"
+    for page in ("<div>" * 50_000 + "</span>" * 50_000 + "x", "<b><li>" + "<div>" * 50_000 + "</b>" * 50_000 + "x", "<div class=ad>" * 50_000 + "<article>x"):
+        assert text(page) == "x"
+
+
 def test_language(spark):
     rng = random.Random(1)
     sounds = {"aa": ["kala", "mitu", "salo", "runo", "päiv"], "bb": ["strze", "gdzi", "przy", "szcz", "krzy"], "cc": ["nguy", "pham", "tran", "thuy", "phuo"]}
@@ -330,8 +385,9 @@ def test_secrets(spark):
     out = [r.asDict() for r in secrets.contract(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
     assert [(r["n_assign"], r["n_access"], r["n_hex"]) for r in out[:2]] == [(1, 0, 0), (0, 1, 1)]
     assert out[0]["spans"] == "assign:18:33" and out[0]["base_sha256"] == hashlib.sha256(b"assign:18:33").hexdigest()
-    assert out[2]["spans"] == f"base64>packed>assign:0:{len(packed)}"
-    assert out[3]["spans"] == f"base64>url>assign:4:{4 + len(twice)}"
+    assert out[2]["spans"] == f"base64>packed>assign:0:{len(packed.rstrip('='))}"
+    kind, start, end = out[3]["spans"].split(":")
+    assert (kind, int(start)) == ("base64>url>assign", 4) and base64.b64decode(texts[3][4 : 4 + (int(end) - 4) // 4 * 4]).startswith(b"api_key%20%3D%20%22Zx81kkQq77aa")
     assert "url>assign:2:" in out[4]["spans"] and "unicode>assign:0:" in out[5]["spans"]
     assert out[6]["spans"] == out[7]["spans"] == out[8]["spans"] == out[9]["spans"] == ""
     start, end = map(int, out[4]["spans"].split(":")[1:])
@@ -339,31 +395,87 @@ def test_secrets(spark):
 
 
 def test_secrets_in_their_surroundings():
-    """Keys before a space, glued prefixes and ends, wrapped lines, and compressed bytes under every coding."""
+    """Keys before a space, glued prefixes and ends, wrapped lines, UTF-16, and compressed bytes under every coding."""
     import base64
+    import bz2
     import gzip
+    import lzma
     import textwrap
     import urllib.parse
 
+    import zstandard
+
     found = lambda text: [(text[a:b], k) for a, b, k in secrets.scan(text)[1]]
     assert found("my password: hunter%32secret now") == [("password: hunter%32secret", "url>assign")]
     assert found('{"password": "\\u0068\\u0075nter2secret"}') == [('password": "\\u0068\\u0075nter2secret', "unicode>assign")]
     inner = 'api_key = "Zx81kkQq77aaBB" and some more words of text after it, enough for lines'
     plain = base64.b64encode(inner.encode()).decode().rstrip("=")
+    told = plain[:34]  # the letters of base64 that hold api_key = "Zx81kkQq77aaBB
     for text in (f"https://host.example/x/{plain}", f"key-{plain}", f"a_b-{plain}/tail"):
-        assert found(text) == [(plain, "base64>assign")], text
+        assert found(text) == [(told, "base64>assign")], text
     rng = random.Random(4)
     packed = gzip.compress((prose(rng, 400) + " " + inner).encode())
     lines = "\n".join(textwrap.wrap(base64.b64encode(packed).decode(), 76))
-    assert found(f"see\n{lines}\nend of mail") == [(lines, "base64>packed>assign")]
+    assert found(f"see\n{lines}\nend of mail") == [(lines.rstrip("="), "base64>packed>assign")]
     cut = "\r\n".join(textwrap.wrap(base64.b64encode(b"x" * 49 + inner.encode()).decode(), 76))
-    assert found(f"{cut}\r\n\r\nend") == [(cut, "base64>assign")]
+    (got, kind), = found(f"{cut}\r\n\r\nend")
+    assert kind == "base64>assign" and "\r\n" in got
     url, escapes = urllib.parse.quote_from_bytes(packed, safe=""), "".join(f"\\x{c:02x}" for c in packed)
     assert (url, "url>packed>assign") in found(f"see {url} here")
     assert [k for _, k in found(f"see {escapes} here")] == ["unicode>packed>assign"]
+    assert [k for _, k in found(f"see {packed!r} here")] == ["unicode>packed>assign"]
     assert found("x " + base64.b64encode(gzip.compress(packed)).decode())[0][1] == "base64>packed>packed>assign"
+    assert found("x " + base64.b64encode(gzip.compress(b"first") + packed).decode())[0][1] == "base64>packed>assign"
+    for pack in (bz2.compress, lzma.compress, zlib.compress, zstandard.compress):
+        assert (base64.b64encode(pack(packed)).decode().rstrip("="), "base64>packed>packed>assign") in found("x " + base64.b64encode(pack(packed)).decode())
+    for code in ("utf-16", "utf-16-le", "utf-16-be"):
+        assert [k for _, k in found(base64.b64encode(inner.encode(code)).decode())] == ["base64>utf16>assign"]
     mixed = f"100%25 of \\u0041ll: secret = abcdefgh1 {plain}"
-    assert found(mixed) == [(plain, "base64>assign")]
+    assert found(mixed) == [(told, "base64>assign")]
+
+
+def test_secrets_in_long_runs():
+    """What once took the square of a run's length; a body that unpacks to more than one piece."""
+    import base64
+    import gzip
+    import time
+
+    began = time.time()
+    for text in ("%41" + "x" * 300_000, "\\u0041" + "x" * 300_000, "a/" * 100_000, "/AAAA" * 40_000, "%" + "25" * 30_000 + "41", "x^2 " * 30_000, "abcdefghijklmnopqrst\n" * 10_000):
+        secrets.scan(text)
+    assert time.time() - began < 30
+    far = base64.b64encode(gzip.compress(b"\0" * (secrets.PIECE + 10) + b" token=abcdefgh1")).decode()
+    assert [k for _, _, k in secrets.scan("see " + far)[1]] == ["base64>packed>assign"]
+
+
+def test_base_secrets_against_brute_force(spark):
+    """Counts against DuckDB, places against a scan of every start, over the documents and over random texts."""
+    import duckdb
+
+    def brute(text):
+        out = []
+        key = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+        for kind, match, good in (("assign", key, lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)):
+            at = 0
+            while at < len(text):
+                m = match.match(text, at)
+                if m and good(m):
+                    out.append((kind, at, m.end()))
+                at = m.end() if m else at + 1
+        return out
+
+    rng = random.Random(12)
+    parts = ["password", "Token", "api_key", "apikey", "'", '"', " ", ":", "=", "abcdefgh1", "AKIA", "ABCDEFGHIJKL", "0123456789abcdef", "é", "x"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(25))
+        assert sorted(secrets.base_spans(text)) == sorted((a, b, k) for k, a, b in brute(text))
+    at = "/root/testdata/sf0.01"
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in QUERIES["op6_secret_scan"](spark, at).collect()}
+    sql = f"""SELECT doc_id, len(list_filter(regexp_extract_all(t, '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 'i'), lambda x: length(x) >= 8)),
+        len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)), len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 32))
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM '{at}/documents.parquet')"""
+    want = {i: tuple(n) for i, *n in duckdb.sql(sql).fetchall()}
+    assert got == want and any(sum(n) for n in want.values())
 
 
 def test_telephony():
