@@ -204,7 +204,8 @@ def test_decontamination(spark, corpus, monkeypatch):
     bench = spark.createDataFrame(items, BENCH)
     want = sorted(str((i, *brute_hits(t, items))) for i, t, *_ in rows)
     assert sorted(str(tuple(r)) for r in decontaminate.contract(documents(spark, rows), bench).collect()) == want
-    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, i, t, block_words=40, f=decontaminate.item_blocks: f(b, i, t, block_words))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 5000)
     assert sorted(str(tuple(r)) for r in decontaminate.contract(documents(spark, rows), bench).collect()) == want
     kept = {r.doc_id: r for r in decontaminate.clean(documents(spark, rows), bench).collect()}
     assert passage not in kept[300].text and kept[300].n_chars == len(kept[300].text) and kept[5].text == rows[5][1]
@@ -219,6 +220,7 @@ def test_suffix_automaton_on_random_texts():
         items = [(str(k), " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))) for k in range(4)]
         model = decontaminate.SuffixAutomaton.of([(n, t.encode()) for n, t in items], 10)
         text = " ".join(rng.choice("abcd") for _ in range(60))
+        model = decontaminate.Matcher.from_bytes(model.to_bytes())
         spans, found, _ = model.hits(words_of(text.encode()))
         want = brute_hits(text, items)
         assert (sum(b - a for a, b in spans), len(found)) == want[1:3]
