@@ -268,8 +268,7 @@ def automata(benchmark: DataFrame, item_id: str, text: str, window: int) -> Data
     Equal items count once. A hash of id and text deals the items to blocks, so their sizes are even.
     """
     own = benchmark.select(F.coalesce(F.col(quoted(item_id)).cast("string"), F.lit("")).alias("i"), F.col(quoted(text)).cast("binary").alias("t")).where("t is not null").distinct()
-    own = cut(own, "benchmark-items")
-    n = max(1, -(-(own.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // BLOCK_BYTES))
+    n = max(1, -(-(benchmark.agg(F.sum(F.octet_length(F.col(quoted(text))))).first()[0] or 0) // BLOCK_BYTES))
 
     def build(rows):
         import pandas as pd

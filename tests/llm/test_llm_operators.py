@@ -605,6 +605,68 @@ def test_licenses(spark):
     assert (out[4].base_labels, out[4].labels) == ("mit", "mit") and out[5].labels == "" and out[6].labels == "mit"
 
 
+def test_base_licenses_against_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in QUERIES["op10_license_scan"](spark, at).collect()}
+    phrases = " UNION ALL ".join(f"SELECT '{p}' AS p, '{k}' AS k" for p, k in licenses.BASE)
+    sql = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM '{at}/documents.parquet'),
+        p AS ({phrases}), n AS (SELECT p, k, len(string_split(p, ' ')) AS n FROM p),
+        hit AS (SELECT doc_id, i - 1 AS i, k FROM (SELECT doc_id, w, n, p, k, unnest(range(1, len(w) - n + 2)) AS i FROM d, n WHERE len(w) >= n) WHERE array_to_string(w[i : i + n - 1], ' ') = p),
+        s AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT k, ',' ORDER BY k) AS l FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, len(w), coalesce(n, 0), a, b, coalesce(l, '') FROM d LEFT JOIN s USING (doc_id)"""
+    want = {i: tuple(r) for i, *r in duckdb.sql(sql).fetchall()}
+    assert got == want and sum(r[1] for r in want.values()) > 3
+
+
+def test_license_automata_against_regular_expressions():
+    """Every template as a regular expression over words, on its own texts, whole and with one word changed."""
+
+    def pattern(t):
+        out, bars = [], ""
+        for x in licenses._PART.findall(t):
+            if x == "[[":
+                out.append("(?:")
+            elif x == "]]":
+                out.append(")?")
+            elif x[:2] == "{!":
+                bars = f"(?!(?:{x[2:-1].replace(',', '|')})\\x20)"
+            elif x[0] == "{":
+                out.append(rf"(?:\S+\x20){{0,{x[1:-1]}}}")
+            else:
+                out.append(rf"{x}\x20")
+        return re.compile("".join(out) + bars)
+
+    rng = random.Random(14)
+    for label, t in licenses.TEMPLATES:
+        auto, regex = licenses.TokenAutomaton.of(label, t), pattern(t)
+        plain = re.sub(r"(?<!\[)\[\w+\](?!\])", lambda m: m[0][1], re.sub(r"\{![\w,]+\}", "", t))
+        plain = re.sub(r"\{(\d+)\}", lambda m: " ".join(["any"] * rng.randrange(int(m[1]) + 1)), plain).replace("[[", "").replace("]]", "").split()
+        assert auto.match([w.encode() for w in plain], 0) >= 0
+        for _ in range(12):
+            words = list(plain)
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice([["changed"], [], [words[k], "more"], [words[k]]])
+            found = regex.match("".join(w + " " for w in words))
+            assert (auto.match([w.encode() for w in words], 0) >= 0) == bool(found), (label, words)
+
+
+def test_license_names():
+    scan = lambda t: {x[2] for x in licenses.Scanner().scan(words_of(t.encode()))[1]}
+    for text, want in (
+        ("SPDX-License-Identifier: MIT\nimport os", {"mit"}), ("SPDX-License-Identifier: MIT-0", {"mit-0"}), ("SPDX-License-Identifier: BSD-3-Clause", {"bsd-3-clause"}), ("SPDX-License-Identifier: GPL-3.0-only", {"gpl"}),
+        ("GNU Lesser General Public License version 3", {"lgpl"}), ("licensed under CC BY-NC-SA 4.0", {"cc-by-nc-sa"}), ("licensed under a CC BY 4.0", {"cc-by"}), ("SPDX-License-Identifier: CC-BY-NC-4.0", {"cc-by-nc"}),
+    ):
+        assert scan(text) == want, text
+    fill = lambda t: re.sub(r"\{!?[\w,]+\}|\[\[.*?\]\]", "", t)
+    for label in ("mit", "mit-0", "json", "x11", "isc", "0bsd", "bsd-2-clause", "bsd-4-clause", "zlib", "unlicense", "bsl-1"):
+        whole = fill(dict((k, t) for k, t in reversed(licenses.TEMPLATES[:13]))[label])
+        assert scan("x " + whole + " y") == {label}, label
+        words = whole.split()
+        assert scan(" ".join([*words[:-20], "else", *words[-20:]])) == set()
+
+
 def test_license_templates():
     auto = licenses.TokenAutomaton.of("x", "a [[b [[c]]]] {2} d licen[cs]e")
     match = lambda t: auto.match(t.encode().split(), 0)
