@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,6 +31,72 @@ def folded(text: bytes) -> bytes:
     return text.lower().translate(_WORDS)
 
 
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+#: Bytes of text that are hashed at once; a longer word is a part of its own.
+PART_BYTES = 1 << 20
+_BASE = 0xD6E8FEB86659FD93
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE, and of its inverse, modulo 2**64."""
+    if len(_powers["up"]) < n:
+        size = 1 << (n - 1).bit_length()
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.multiply.accumulate(steps)
+    return _powers["up"][:n], _powers["down"]
+
+
+def _part_hashes(low: bytes) -> np.ndarray:
+    b = np.frombuffer(low, np.uint8)
+    inside = np.concatenate(([False], b != 32, [False]))
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    a, e = turns[0::2], turns[1::2]
+    up, down = _power(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
+    h = (total[e] - total[a]) * down[a] * MIX[0]
+    h = (h ^ (h >> np.uint64(31))) * MIX[1]
+    return (h ^ (h >> np.uint64(29))) | np.uint64(1)
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes, none of them 0, of the words of a text (see words_of), all in a few numpy operations: a
+    polynomial over the bytes of each word, from running sums."""
+    low, at, parts = folded(text or b""), 0, []
+    while at < len(low):
+        end = at + PART_BYTES
+        if end < len(low):
+            cut_at = low.rfind(b" ", at, end)
+            end = cut_at if cut_at > at else low.find(b" ", end)
+            end = len(low) if end < 0 else end
+        parts.append(_part_hashes(low[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, computed once each; forgotten when there are too many."""
+
+    MOST = 300_000
+
+    def __missing__(self, word: bytes | str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def fresh(taken, name: str) -> str:
+    """The name, lengthened until none of those taken is the same but for case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quillwork.llm._rows import cut, map_text, quoted, words_of
-from quillwork.llm.near_dup import _MIX, WordHashes
+from quillwork.llm._rows import cut, map_text, quoted, word_hashes
+from quillwork.llm.near_dup import run_hashes
 
 #: Bytes of benchmark text in one automaton, about half a million words. Building one takes about 350 MB of a worker,
 #: which then keeps about 20 MB of arrays.
@@ -74,12 +74,12 @@ class SuffixAutomaton:
     @classmethod
     def of(cls, items: list[tuple[str, bytes]], window: int = 10) -> Matcher:
         """Of (item id as text, UTF-8 text) pairs."""
-        self, coded, hashes = cls(window), [], WordHashes()
+        self, coded = cls(window), []
         names: dict[str, int] = {}
         for name, text in items:
-            words = words_of(text)
+            words = word_hashes(text).tolist()
             for a in range(0, max(1, len(words) - window + 1), PIECE_WORDS):
-                codes = [self.vocab.setdefault(hashes[w], len(self.vocab)) for w in words[a : a + PIECE_WORDS + window - 1]]
+                codes = [self.vocab.setdefault(w, len(self.vocab)) for w in words[a : a + PIECE_WORDS + window - 1]]
                 if codes:
                     coded.append((names.setdefault(name, len(names)), codes))
                     last = 0
@@ -130,12 +130,7 @@ class SuffixAutomaton:
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-word runs, one for each word that begins one."""
-    if n < 1 or len(hashes) < n:
-        return np.zeros(0, np.uint64)
-    out = hashes[: len(hashes) - n + 1] * _MIX[0]
-    for k in range(1, n):
-        out = (out ^ (out >> np.uint64(29))) * _MIX[k] + hashes[k : len(hashes) - n + 1 + k]
-    return (out ^ (out >> np.uint64(32))) * _MIX[1]
+    return run_hashes(hashes, n) if 1 <= n <= len(hashes) else np.zeros(0, np.uint64)
 
 
 @dataclass
@@ -234,13 +229,9 @@ class Matcher:
             return set()
         return set(self.names[np.unique(np.concatenate([self.held[self.starts[e] : self.starts[e + 1]] for e in found]))])
 
-    def hits(self, words: list[bytes], hashes: WordHashes | None = None) -> tuple[list[tuple[int, int]], set, int]:
-        """Maximal hit spans [from, to) of word positions in order, items with a window here, longest match."""
-        hashes = WordHashes() if hashes is None else hashes
-        return self.all_hits([np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))])[0]
-
-    def all_hits(self, texts: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set, int]]:
-        """The same for many texts, as word hashes, at once."""
+    def hits(self, texts: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], set, int]]:
+        """For each text, as word hashes: maximal hit spans [from, to) of word positions in order, items with a window
+        here, longest match."""
         ends = np.cumsum([len(t) + 1 for t in texts])
         out: list = [([], set(), 0)] * len(texts)
         if not len(ends):
@@ -343,12 +334,11 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def matcher(bodies: list[bytes]):
-    models, known = [Matcher.from_bytes(b) for b in bodies], WordHashes()
+    models = [Matcher.from_bytes(b) for b in bodies]
 
     def work(texts, *before):
-        words = [words_of(t) if t else [] for t in texts]
-        hashes = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in words]
-        found = [m.all_hits(hashes) for m in models]
+        words = [word_hashes(t) for t in texts]
+        found = [m.hits(words) for m in models]
         cols: list[list] = [[] for _ in FIELDS]
         for k, w in enumerate(words):
             own = [f[k] for f in found]

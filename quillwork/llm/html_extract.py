@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from quillwork.llm._rows import cut, map_text, quoted
-from quillwork.llm.near_dup import _MIX, WordHashes
+from quillwork.llm._rows import MIX, WordHashes, cut, map_text, quoted
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -216,10 +215,10 @@ def _least(blocks: list[str], known: WordHashes) -> list[int]:
     for k in range(2):
         inside[starts[1:] - 1 - k] = False
     h[inside] = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
-    runs = h * _MIX[0]
+    runs = h * MIX[0]
     for k in (1, 2):
         runs[:-k] += h[k:]
-        runs = (runs ^ (runs >> np.uint64(29))) * _MIX[k]
+        runs = (runs ^ (runs >> np.uint64(29))) * MIX[k]
     first = np.zeros(len(h), bool)
     first[starts[:-1]] = True
     beyond = np.zeros(len(h), bool)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from quillwork.llm._rows import cut, map_text, quoted, words_of
+from quillwork.llm._rows import MIX, cut, map_text, quoted, word_hashes
 from quillwork.llm.graph import components
 
 #: Members of one side of a verified block, and n-grams of one side, at most about so many.
@@ -20,33 +20,22 @@ BLOCK, BLOCK_GRAMS = 1024, 1_500_000
 #: A set of candidates of more blocks than this is verified bucket by bucket instead of as a whole.
 MOST_BLOCKS = 16
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
-
-class WordHashes(dict):
-    """64-bit hashes of words, computed once each; forgotten when there are too many."""
-
-    MOST = 300_000
-
-    def __missing__(self, word: bytes | str) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def gram_set(text: bytes | None, known: WordHashes, n: int) -> np.ndarray:
-    """Sorted hashes of the n-word runs of a text; a text of fewer words is one run, one of none has none."""
-    words = words_of(text) if text else []
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words, given those of the words; fewer words are one run, none have none."""
     if not len(h):
         return h
     width = min(n, len(h))
-    s = h[: len(h) - width + 1] * _MIX[0]
+    s = h[: len(h) - width + 1] * MIX[0]
     for k in range(1, width):
-        s = (s ^ (s >> np.uint64(29))) * _MIX[k % 5] + h[k : len(h) - width + 1 + k]
+        s = (s ^ (s >> np.uint64(29))) * MIX[k % 5] + h[k : len(h) - width + 1 + k]
     s ^= s >> np.uint64(32)
-    return np.unique(s * _MIX[1])
+    return s * MIX[1]
+
+
+def gram_set(text: bytes | None, n: int) -> np.ndarray:
+    """Sorted hashes of the n-word runs of a text; a text of fewer words is one run, one of none has none."""
+    return np.unique(run_hashes(word_hashes(text), n))
 
 
 def band_plan(threshold: float, recall: float, most_bands: int = 24) -> tuple[int, int]:
@@ -80,12 +69,12 @@ def signed(documents: DataFrame, text: str, doc_id: str, n: int, plan: tuple[int
     """(doc_id, k, grams, bands): hash of the n-gram set, its size, band hashes; k null for texts of no words."""
 
     def factory():
-        known, mins = WordHashes(), MinHash(*plan)
+        mins = MinHash(*plan)
 
         def work(texts):
             keys, sizes, bands = [], [], []
             for t in texts:
-                g = gram_set(t, known, n)
+                g = gram_set(t, n)
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 sizes.append(len(g))
                 bands.append(mins.of(g) if len(g) else None)
@@ -246,10 +235,8 @@ def join(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     # a class has one unit, or one for each of its bands
 
     def set_factory():
-        known = WordHashes()
-
         def work(texts, keys):
-            sets = [gram_set(t, known, n) for t in texts]
+            sets = [gram_set(t, n) for t in texts]
             kept = [len(g) > 0 and xxhash.xxh3_128_digest(g.tobytes()) == k for g, k in zip(sets, keys, strict=True)]
             return [kept, pa.array([g.tobytes() for g, y in zip(sets, kept, strict=True) if y], pa.binary())]
 

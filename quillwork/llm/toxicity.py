@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from quillwork.llm._rows import crc_mod, cut, key_text, map_text, quoted
-from quillwork.llm.near_dup import WordHashes, gram_set
+from quillwork.llm.near_dup import gram_set
 
 #: The classifier is fitted on about so many labelled documents at most, picked by a hash of their ids.
 MAX_LABELLED = 40_000
@@ -291,10 +291,9 @@ def chosen(found: list[tuple[str, bool, float, int, float]]) -> list[tuple[str,
 
 def _likeness():
     """The smallest hash of five words in a row: copies share it, and so do most near copies."""
-    known = WordHashes()
 
     def work(texts):
-        grams = [gram_set(t, known, 5) for t in texts]
+        grams = [gram_set(t, 5) for t in texts]
         return [[int(g[0].view(np.int64)) if len(g) else 0 for g in grams]]
 
     return work

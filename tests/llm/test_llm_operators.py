@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quillwork.llm import decontaminate, graph, html_extract, language, licenses, line_dedup, mixing, near_dup, secrets, telephony, toxicity
-from quillwork.llm._rows import words_of
+from quillwork.llm._rows import WordHashes, word_hashes, words_of
 from quillwork.llm.queries import QUERIES
 
 DOC = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()), StructField("n_chars", LongType())])
@@ -95,6 +95,20 @@ def test_near_copies_in_blocks_and_buckets_agree(spark, corpus, monkeypatch):
     assert sorted(map(str, near_dup.contract(df).collect())) == whole
 
 
+def test_word_hashes(monkeypatch):
+    """Equal words, and only those, have equal hashes, wherever they stand and whatever the parts."""
+    from quillwork.llm import _rows
+
+    rng = random.Random(15)
+    text = " ".join("".join(rng.choice("abé中xyz01") for _ in range(rng.randrange(1, 9))) for _ in range(20_000)) + ", END end; " + "q" * 3000
+    words = words_of(text.encode())
+    whole = word_hashes(text.encode())
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words)) == len(set(zip(words, whole.tolist(), strict=True)))
+    monkeypatch.setattr(_rows, "PART_BYTES", 1000)
+    assert (word_hashes(text.encode()) == whole).all() and (whole != 0).all()
+    assert len(word_hashes(b"")) == len(word_hashes(None)) == len(word_hashes(b" ,.")) == 0
+
+
 def test_band_plan_meets_recall():
     for t, recall in ((0.8, 0.9995), (0.9, 0.99), (0.5, 0.95)):
         bands, rows = near_dup.band_plan(t, recall, 64)
@@ -221,7 +235,7 @@ def test_suffix_automaton_on_random_texts():
         model = decontaminate.SuffixAutomaton.of([(n, t.encode()) for n, t in items], 10)
         text = " ".join(rng.choice("abcd") for _ in range(60))
         model = decontaminate.Matcher.from_bytes(model.to_bytes())
-        spans, found, _ = model.hits(words_of(text.encode()))
+        spans, found, _ = model.hits([word_hashes(text.encode())])[0]
         want = brute_hits(text, items)
         assert (sum(b - a for a, b in spans), len(found)) == want[1:3]
 
@@ -310,7 +324,7 @@ def brute_templates(pages, min_pages=5, min_share=0.05):
     for (host, body), p in {x: p for x, p in zip(pages, read, strict=True)}.items():
         hosts[host] = hosts.get(host, 0) + 1
         own = {}
-        for f, o in zip(p.subtrees, html_extract.others(p.subtrees, p.blocks, near_dup.WordHashes()), strict=True):
+        for f, o in zip(p.subtrees, html_extract.others(p.subtrees, p.blocks, WordHashes()), strict=True):
             if o is not None:
                 had = own.get(f.hash, (o, False))
                 own[f.hash] = (min(o, had[0]), had[1] or size(p, f) >= html_extract.LONG)
