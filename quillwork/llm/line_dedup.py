@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import uuid
 
 import numpy as np
@@ -76,28 +75,38 @@ class CuckooFilter:
         fp, a, b = self.places(h2)
         return ((self.table[a] == fp[:, None]) | (self.table[b] == fp[:, None])).any(1)
 
+    def _place(self, fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Puts entries into free slots of their buckets, one a bucket at a time; returns which found none."""
+        left = np.arange(len(at))
+        full = [np.zeros(0, np.int64)]
+        while len(left):
+            buckets, first = np.unique(at[left], return_index=True)
+            own = left[first]
+            free = self.table[buckets] == 0
+            some = free.any(1)
+            self.table[buckets[some], free[some].argmax(1)] = fp[own[some]]
+            full.append(left[np.isin(at[left], buckets[~some])])
+            left = np.setdiff1d(left, np.concatenate([own[some], full[-1]]))
+        return np.concatenate(full)
+
     def insert(self, h2: np.ndarray) -> CuckooFilter:
-        """Inserts all keys; a filter that gets too full is rebuilt twice as large by the caller's retry."""
+        """Inserts all keys; OverflowError if there is no room, after which the filter must be built anew."""
         rng = np.random.default_rng(len(h2))
         mask = len(self.table) - 1
-        for fp, a, b in zip(*(x.tolist() for x in self.places(h2)), strict=True):
-            for at in (a, b):
+        fps, a, b = self.places(h2)
+        late = self._place(fps, a)
+        late = late[self._place(fps[late], b[late])]
+        for fp, at in zip(fps[late].tolist(), b[late].tolist(), strict=True):
+            for _ in range(500):
+                slot = int(rng.integers(self.SLOTS))
+                fp, self.table[at, slot] = int(self.table[at, slot]), fp
+                at = (at ^ int(self._other(np.uint16(fp)))) & mask
                 free = np.flatnonzero(self.table[at] == 0)
                 if len(free):
                     self.table[at, free[0]] = fp
                     break
             else:
-                at = b
-                for _ in range(500):
-                    slot = int(rng.integers(self.SLOTS))
-                    fp, self.table[at, slot] = int(self.table[at, slot]), fp
-                    at = (at ^ int(self._other(np.uint16(fp)))) & mask
-                    free = np.flatnonzero(self.table[at] == 0)
-                    if len(free):
-                        self.table[at, free[0]] = fp
-                        break
-                else:
-                    raise OverflowError("cuckoo filter is full")
+                raise OverflowError("cuckoo filter is full")
         return self
 
     def delete(self, h2: np.ndarray) -> CuckooFilter:
@@ -163,27 +172,6 @@ def own_id(doc_id: str):
     return F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(-(1 << 63)))
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """Exact references of each key: documents that hold it, and the largest of their ids.
-
-    Counted first by (key, id), then by key, each with partial sums before the shuffle: a line that is in a
-    third of all documents gives each task one row.
-    """
-    return rows.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
-
-
-def filters(keys: DataFrame, n_shards: int, room: float = 1.0) -> DataFrame:
-    """(shard, body): one cuckoo filter for the keys of each shard, at most about SHARD_KEYS of them."""
-
-    def build(rows):
-        h2 = rows["h2"].to_numpy()
-        import pandas as pd
-
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "body": [CuckooFilter.of(h2, int(len(h2) * room)).to_bytes()]})
-
-    return keys.select(shard_of(F.col("h1"), n_shards).alias("shard"), "h2").groupBy("shard").applyInPandas(build, "shard long, body binary")
-
-
 def probe_of(table: DataFrame, n_shards: int):
     """A probe for `postings` from filters, or None if they are larger than FILTER_BYTES."""
     total = table.agg(F.sum(F.octet_length("body"))).first()[0] or 0
@@ -207,28 +195,13 @@ def probe_of(table: DataFrame, n_shards: int):
     return probe
 
 
-def shards_for(n_keys: int) -> int:
-    return max(1, -(-n_keys // SHARD_KEYS))
-
-
-def drops(documents: DataFrame, repeated: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
-    """(doc_id, keys): the keys whose lines each document loses, by the exact table `repeated`.
-
-    The filters of the repeated keys let through the lines that may be among them; those alone are
-    shuffled to the exact table. That join may be uneven; adaptive execution splits its large partitions.
-    """
-    n_shards = shards_for(repeated.count())
-    probe = probe_of(cut(filters(repeated, n_shards), "line-filters"), n_shards)
-    rows = postings(documents, text, doc_id, least, probe)
-    lost = rows.join(repeated, ["h1", "h2"]).where("doc_id <> last")
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
-
-
 def cleaned(documents: DataFrame, lost: DataFrame, text: str, doc_id: str, keep: list[str], least: int) -> DataFrame:
-    """Columns `keep`, then ld_text, ld_n_lines, ld_n_dropped of every row of documents."""
+    """Columns `keep`, then ld_text, ld_n_lines, ld_n_dropped of every row of documents; a kept column of such a name
+    is replaced."""
     fields = [StructField("ld_text", StringType()), StructField("ld_n_lines", LongType()), StructField("ld_n_dropped", LongType())]
-    lost = lost.select(F.col("doc_id").alias("ld_id"), F.col("keys").alias("ld_keys"))
-    both = documents.join(lost, own_id(doc_id) == F.col("ld_id"), "left").drop("ld_id")
+    keep = [c for c in keep if c.lower() not in {f.name for f in fields}]
+    held = [f"c{i}" for i in range(len(keep))]
+    own = documents.select(*[F.col(quoted(c)).alias(n) for c, n in zip(keep, held, strict=True)], F.col(quoted(text)).alias("body"), own_id(doc_id).alias("doc_id"))
 
     def factory():
         def work(texts, keys):
@@ -248,117 +221,189 @@ def cleaned(documents: DataFrame, lost: DataFrame, text: str, doc_id: str, keep:
 
         return work
 
-    return map_text(both, text, keep, fields, factory, extra=("ld_keys",))
-
-
-def dedup(documents: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", least: int = 40, min_docs: int = 5) -> DataFrame:
-    """Columns `keep` and ld_text, ld_n_lines, ld_n_dropped: each text without lines that repeat elsewhere.
-
-    A key (the line stripped of ASCII white space, A-Z lowered) of at least `least` code points in at least
-    `min_docs` documents stays only in the document with the largest id. Null and empty texts are one empty
-    line and stay as they are. Rows with the same id are one document: they count once and all keep or all lose a line. A null id
-    is the smallest id. Every row comes back.
-    """
-    repeated = cut(counted(postings(documents, text, doc_id, least)).where(F.col("n") >= min_docs), "line-counts")
-    return cleaned(documents, drops(documents, repeated, text, doc_id, least), text, doc_id, keep, least)
-
-
-def clean_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
-    """The documents with their repeated lines dropped; n_chars, if there is one, follows a changed text."""
-    names = documents.columns
-    out = dedup(documents, [c for c in names if c != text], text, doc_id, **params).withColumnRenamed("ld_text", text)
-    if "n_chars" in names:
-        size = F.char_length(F.col(quoted(text))).cast(documents.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("ld_n_dropped") > 0, size).otherwise(F.col("n_chars")))
-    return out.select(*[quoted(c) for c in names])
+    return map_text(own.join(lost, "doc_id", "left"), "body", held, fields, factory, extra=("keys",)).toDF(*keep, *[f.name for f in fields])
 
 
 class LineIndex:
-    """Line dedup that grows by batches and takes documents back.
-
-    A version in the folder `path` holds three tables: postings (shard, h1, h2, doc_id), counts (shard, h1,
-    h2, n, last) and filters (shard, body), the cuckoo filters of all keys in counts. insert() asks the
-    filters first: keys they don't hold are new and are appended; the others alone are joined with the exact
-    counts. delete() takes a document's references away; keys that nothing refers to leave the filters, so
-    lines dropped on account of a deleted document come back. Each step writes a new version and names it in
-    the last step, so a failed one leaves the old version valid.
+    """Which lines repeat in a set of documents that grows by batches and gives documents back.
+
+    A key (a line stripped of ASCII white space, A-Z lowered, of at least `least` code points) repeats while at
+    least `min_docs` documents hold it. The index holds, in the folder `path`:
+    - postings (h1, h2, doc_id), one row for each key and document, a folder for each insert;
+    - counts (h1, h2, n, last, epoch, whole), what each insert or delete did to the references of a key: n is added;
+      last is the largest id the step saw, of all documents where `whole`, and epoch numbers the deletes;
+    - filters (shard, body), the cuckoo filters of the keys that repeat now, and gone (doc_id), deleted ids.
+    insert() and delete() write their own rows only. Keys that begin to repeat are inserted into the filters, those that
+    cease to are deleted from them; a filter that is full is built anew by itself, and all are where
+    SHARD_KEYS keys a filter want more shards. So whatever was dropped on account of a document comes back
+    after its deletion. A step that fails leaves the index as it was: tables are named by the last line of a step.
+    Null ids are one id, the smallest; rows of one id are one document; null and empty texts hold no key.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, n_shards: int = 64, least: int = 40, min_docs: int = 5):
-        self.spark, self.path, self.n_shards, self.least, self.min_docs = spark, path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}", n_shards, least, min_docs
-        self.version: str | None = None
-
-    def _table(self, name: str) -> DataFrame:
-        kinds = {"postings": "shard long, h1 long, h2 long, doc_id long", "counts": "shard long, h1 long, h2 long, n long, last long", "filters": "shard long, body binary"}
-        if self.version is None:
-            return self.spark.createDataFrame([], kinds[name])
-        return self.spark.read.schema(kinds[name]).parquet(f"{self.path}/{self.version}/{name}")
-
-    def _write(self, **tables: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{version}/{name}")
-        self.version = version
-
-    def _counts(self, rows: DataFrame) -> DataFrame:
-        return counted(rows).select(shard_of(F.col("h1"), self.n_shards).alias("shard"), "h1", "h2", "n", "last")
+    KINDS = {"postings": "h1 long, h2 long, doc_id long", "counts": "h1 long, h2 long, n long, last long, epoch long, whole boolean", "filters": "shard long, body binary", "gone": "doc_id long"}
+
+    def __init__(self, spark: SparkSession, path: str | None = None, least: int = 40, min_docs: int = 5):
+        self.spark, self.path, self.least, self.min_docs = spark, path or f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}", least, min_docs
+        self.tables: dict[str, list[str]] = {k: [] for k in self.KINDS}
+        self.n_keys, self.n_shards, self.epoch = 0, 1, 0
+
+    def table(self, name: str) -> DataFrame:
+        """All rows of a table, those of deleted documents left out of the postings."""
+        if not self.tables[name]:
+            return self.spark.createDataFrame([], self.KINDS[name])
+        out = self.spark.read.schema(self.KINDS[name]).parquet(*self.tables[name])
+        return out.join(self.table("gone"), "doc_id", "left_anti").select("h1", "h2", "doc_id") if name == "postings" and self.tables["gone"] else out
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        at = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.select(*[c.split()[0] for c in self.KINDS[name].split(", ")]).write.parquet(at)
+        return at
+
+    def counts(self) -> DataFrame:
+        """(h1, h2, n, last) of all keys ever seen: references now, and the largest id that holds it."""
+        rows = self.table("counts")
+        if not self.epoch:
+            if len(self.tables["counts"]) < 2:
+                return rows.select("h1", "h2", "n", "last")
+            return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        # one entry for each step that met the key: the last ids since the latest step that saw all of them
+        steps = rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.collect_list(F.struct("epoch", "last", "whole")).alias("steps"))
+        since = F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: s["whole"]), lambda s: s["epoch"])), F.lit(0))
+        steps = steps.withColumn("since", since)
+        return steps.select("h1", "h2", "n", F.expr("array_max(transform(filter(steps, s -> s.epoch >= since), s -> s.last))").alias("last"))
+
+    def repeated(self) -> DataFrame:
+        """(h1, h2, last) of the keys that repeat now."""
+        return self.counts().where(F.col("n") >= self.min_docs).select("h1", "h2", "last")
+
+    def _filters(self, more: DataFrame, less: DataFrame | None) -> list[str]:
+        """The filters with keys inserted and deleted: by shard, each shard's own task."""
+        grown = self.n_shards
+        while self.n_keys > SHARD_KEYS * grown:
+            grown *= 2
+        if grown != self.n_shards or not self.tables["filters"]:
+            self.n_shards, old, rows = grown, None, self.repeated_after.withColumn("more", F.lit(True))
+        else:
+            old, rows = self.table("filters"), more.withColumn("more", F.lit(True))
+            if less is not None:
+                rows = rows.unionByName(less.withColumn("more", F.lit(False)))
+        rows = rows.select(shard_of(F.col("h1"), self.n_shards).alias("shard"), "h2", "more")
+        after = self.repeated_after.select(shard_of(F.col("h1"), self.n_shards).alias("shard"), "h2")
+
+        def update(key, held, rows):
+            import pandas as pd
+
+            new, dead = rows["h2"][rows["more"].astype(bool)].to_numpy(np.int64), rows["h2"][~rows["more"].astype(bool)].to_numpy(np.int64)
+            try:
+                body = (CuckooFilter.from_bytes(held["body"].iloc[0]).delete(dead).insert(new) if len(held) else CuckooFilter.of(new, int(1.5 * len(new)))).to_bytes()
+            except OverflowError:
+                body = b""
+            return pd.DataFrame({"shard": [key[0]], "body": [body]})
+
+        def build(rows):
+            return rows.iloc[:1][["shard"]].assign(body=[CuckooFilter.of(rows["h2"].to_numpy(), int(1.5 * len(rows))).to_bytes()])
+
+        none = self.spark.createDataFrame([], self.KINDS["filters"])
+        at = self._write("filters", (old if old is not None else none).groupBy("shard").cogroup(rows.groupBy("shard")).applyInPandas(update, self.KINDS["filters"]))
+        made = self.spark.read.schema(self.KINDS["filters"]).parquet(at)
+        full = [r["shard"] for r in made.where(F.octet_length("body") == 0).select("shard").collect()]
+        if not full:
+            return [at]
+        again = after.where(F.col("shard").isin(full)).groupBy("shard").applyInPandas(build, self.KINDS["filters"])
+        return [self._write("filters", made.where(~F.col("shard").isin(full)).unionByName(again))]
+
+    def _step(self, postings: list[str], change: DataFrame, gone: list[str], epoch: int) -> None:
+        """Takes over a step's rows once all are written. change: what it did to each key it met."""
+        at = self._write("counts", change)
+        change = self.spark.read.schema(self.KINDS["counts"]).parquet(at).select("h1", "h2", F.col("n").alias("dn"))
+        held, n_keys, n_shards = {k: list(v) for k, v in self.tables.items()}, self.n_keys, self.n_shards
+        was = self.epoch
+        try:
+            self.tables["counts"].append(at)
+            self.tables["postings"] += postings
+            self.tables["gone"] += gone
+            self.epoch = epoch
+            counts = self.counts()
+            self.repeated_after = counts.where(F.col("n") >= self.min_docs).select("h1", "h2")
+            if not held["counts"]:
+                more = cut(self.repeated_after, "line-more")
+                less = None
+                self.n_keys = more.count()
+                self.repeated_after = more
+            else:
+                met = cut(counts.join(change, ["h1", "h2"]).select("h1", "h2", "n", (F.col("n") - F.col("dn")).alias("before")), "line-met")
+                more = met.where((F.col("n") >= self.min_docs) & (F.col("before") < self.min_docs)).select("h1", "h2")
+                less = met.where((F.col("n") < self.min_docs) & (F.col("before") >= self.min_docs)).select("h1", "h2")
+                self.n_keys += more.count() - less.count()
+            self.tables["filters"] = self._filters(more, less)
+        except Exception:
+            self.tables, self.n_keys, self.n_shards, self.epoch = held, n_keys, n_shards, was
+            raise
 
     def insert(self, documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> LineIndex:
-        """Adds documents; ids that are there already get further lines."""
-        old, new = self._table("postings"), postings(documents, text, doc_id, self.least).distinct()
-        new = new.select(shard_of(F.col("h1"), self.n_shards).alias("shard"), "h1", "h2", "doc_id")
-        new = cut(new.join(old, ["shard", "h1", "h2", "doc_id"], "left_anti"), "line-batch")
-        batch = self._counts(new)
-
-        def ask(key, rows, held):
-            if len(held):
-                rows["known"] = CuckooFilter.from_bytes(held["body"].iloc[0]).contains(rows["h2"].to_numpy())
-            else:
-                rows["known"] = False
-            return rows
-
-        asked = cut(batch.groupBy("shard").cogroup(self._table("filters").groupBy("shard")).applyInPandas(ask, "shard long, h1 long, h2 long, n long, last long, known boolean"), "line-asked")
-        known = asked.where("known").drop("known").withColumnsRenamed({"n": "n_", "last": "last_"})
-        counts = self._table("counts")
-        merged = counts.join(known, ["shard", "h1", "h2"], "full").select(
-            "shard", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))).alias("n"), F.greatest("last", "last_").alias("last")
-        )
-        added = asked.where("not known").drop("known")
-        fresh = added.join(counts, ["shard", "h1", "h2"], "left_anti") if self.version is None else added
-        counts = cut(merged.unionByName(fresh), "line-merged")
-        self._write(postings=old.unionByName(new), counts=counts, filters=self._filters(counts))
+        """Adds documents. Ids that are in the index must be deleted first; deleted ids may come back."""
+        known = self.tables["gone"]
+        if known:
+            # an id that comes back is gone no more: its old postings are written off for good
+            back = documents.select(own_id(doc_id).alias("doc_id")).distinct()
+            if self.table("gone").join(back, "doc_id", "left_semi").limit(1).count():
+                rest = self._write("postings", self.table("postings"))
+                self.tables = {**self.tables, "postings": [rest], "gone": []}
+        at = self._write("postings", postings(documents, text, doc_id, self.least).distinct())
+        new = self.spark.read.schema(self.KINDS["postings"]).parquet(at)
+        change = new.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+        self._step([at], change.select("h1", "h2", "n", "last", F.lit(self.epoch).cast("long").alias("epoch"), F.lit(False).alias("whole")), [], self.epoch)
         return self
 
-    def _filters(self, counts: DataFrame) -> DataFrame:
-        return filters(counts, self.n_shards, room=1.5)
-
     def delete(self, ids: DataFrame, doc_id: str = "doc_id") -> LineIndex:
         """Takes documents back by their ids; ids that are not there change nothing."""
-        gone = ids.select(own_id(doc_id).alias("doc_id")).distinct()
-        old = self._table("postings")
-        hit = old.join(gone, "doc_id", "left_semi").select("shard", "h1", "h2").distinct()
-        rest = cut(old.join(gone, "doc_id", "left_anti").select("shard", "h1", "h2", "doc_id"), "line-rest")
-        again = self._counts(rest.join(hit, ["shard", "h1", "h2"], "left_semi").select("doc_id", "h1", "h2"))
-        counts = cut(self._table("counts").join(hit, ["shard", "h1", "h2"], "left_anti").unionByName(again), "line-merged")
-        dead = hit.join(again, ["shard", "h1", "h2"], "left_anti").select("shard", "h2")
-
-        def shrink(key, held, rows):
-            held["body"] = [CuckooFilter.from_bytes(b).delete(rows["h2"].to_numpy()).to_bytes() for b in held["body"]]
-            return held
-
-        kept = self._table("filters").groupBy("shard").cogroup(dead.groupBy("shard")).applyInPandas(shrink, "shard long, body binary")
-        self._write(postings=rest, counts=counts, filters=kept)
+        old = self.table("postings")
+        asked = ids.select(own_id(doc_id).alias("doc_id")).distinct()
+        gone = self._write("gone", asked)
+        lost = cut(old.join(self.spark.read.schema(self.KINDS["gone"]).parquet(gone), "doc_id", "left_semi"), "line-lost")
+        less = lost.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("lost"))
+        rest = old.join(asked, "doc_id", "left_anti").join(less.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.max("doc_id").alias("last"))
+        change = less.join(rest, ["h1", "h2"], "left").select("h1", "h2", (-F.col("lost")).alias("n"), "last", F.lit(self.epoch + 1).cast("long").alias("epoch"), F.lit(True).alias("whole"))
+        self._step([], change, [gone], self.epoch + 1)
         return self
 
+    def drops(self, documents: DataFrame, text: str, doc_id: str) -> DataFrame:
+        """(doc_id, keys): the keys whose lines each document loses.
+
+        The filters let through the lines that may repeat; those alone are shuffled to the exact counts. That
+        join may be uneven; adaptive execution splits its large partitions.
+        """
+        probe = probe_of(self.table("filters"), self.n_shards)
+        lost = postings(documents, text, doc_id, self.least, probe).join(self.repeated(), ["h1", "h2"]).where("doc_id <> last")
+        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
+
     def clean(self, documents: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """Columns `keep` and ld_* of documents of the index, by its counts as they are now."""
-        repeated = self._table("counts").where(F.col("n") >= self.min_docs).select("h1", "h2", "n", "last")
-        return cleaned(documents, drops(documents, repeated, text, doc_id, self.least), text, doc_id, keep, self.least)
+        return cleaned(documents, self.drops(documents, text, doc_id), text, doc_id, keep, self.least)
+
+
+def dedup(documents: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id", least: int = 40, min_docs: int = 5) -> DataFrame:
+    """Columns `keep` and ld_text, ld_n_lines, ld_n_dropped: each text without lines that repeat elsewhere.
+
+    A line that repeats (see LineIndex) stays only in the document with the largest id. Null and empty texts
+    are one empty line and stay as they are. Rows with the same id are one document: they count once and all
+    keep or all lose a line. A null id is the smallest id. Every row comes back.
+    """
+    return LineIndex(documents.sparkSession, least=least, min_docs=min_docs).insert(documents, text, doc_id).clean(documents, keep, text, doc_id)
+
+
+def clean_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **params) -> DataFrame:
+    """The documents with their repeated lines dropped; n_chars, if there is one, follows a changed text."""
+    names = documents.columns
+    plain = {c: f"c{i}" for i, c in enumerate(names)}
+    out = dedup(documents.toDF(*plain.values()), [plain[c] for c in names if c != text], plain[text], plain[doc_id], **params).withColumnRenamed("ld_text", plain[text])
+    if "n_chars" in names:
+        size = F.char_length(plain[text]).cast(documents.schema["n_chars"].dataType)
+        out = out.withColumn(plain["n_chars"], F.when(F.col("ld_n_dropped") > 0, size).otherwise(F.col(plain["n_chars"])))
+    return out.select(*plain.values()).toDF(*names)
 
 
 def contract(documents: DataFrame) -> DataFrame:
     """One row per document for op4."""
     out = dedup(documents, ["doc_id"])
     return out.select("doc_id", F.col("ld_n_lines").alias("n_lines"), F.col("ld_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("ld_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-
-

@@ -159,6 +159,19 @@ def brute_lines(rows, least=40, min_docs=5):
     return sorted(map(str, out))
 
 
+def brute_cleaned(rows, least=40, min_docs=5):
+    own = lambda i: -(1 << 63) if i is None else i
+    key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
+    holders = {}
+    for i, t, *_ in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(own(i))
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(key(x)) < least or len(holders[key(x)]) < min_docs or max(holders[key(x)]) == own(i)]
+        yield i, len(lines), len(lines) - len(kept), t if len(kept) == len(lines) else "\n".join(kept)
+
+
 def test_line_dedup(spark, corpus, monkeypatch):
     df = documents(spark, corpus[0])
     want = brute_lines(corpus[0])
@@ -168,21 +181,44 @@ def test_line_dedup(spark, corpus, monkeypatch):
     assert sorted(str(tuple(r)) for r in line_dedup.contract(df).collect()) == want
 
 
-def test_line_index_is_reversible(spark, corpus):
-    rows = [r for r in corpus[0] if r[0] is not None]
-    first, later = rows[:20], rows[20:]
-    digest = lambda df: sorted((r.doc_id, r.ld_n_lines, r.ld_n_dropped, r.ld_text) for r in df.collect())
-    index = line_dedup.LineIndex(spark, n_shards=4)
-    a, b, both = documents(spark, first), documents(spark, later), documents(spark, rows)
-    index.insert(a)
-    alone = digest(index.clean(a, ["doc_id"]))
-    assert alone == digest(line_dedup.dedup(a, ["doc_id"]))
-    index.insert(b)
-    assert [x for x in digest(index.clean(both, ["doc_id"]))] == digest(line_dedup.dedup(both, ["doc_id"]))
-    gone = spark.createDataFrame([(r[0],) for r in later if r[0] not in {x[0] for x in first}], "doc_id long")
-    index.delete(gone)
-    assert digest(index.clean(a, ["doc_id"])) == alone
-    assert index.delete(gone).insert(b)._table("counts").count() == line_dedup.LineIndex(spark, n_shards=4).insert(both)._table("counts").count()
+def test_line_index_is_reversible(spark, corpus, monkeypatch):
+    """After any inserts and deletes the index cleans as one of the documents it holds; keys that cease to repeat leave
+    the filters, and shards grow with the keys."""
+    rng = random.Random(16)
+    lines = [prose(rng, 12) for _ in range(30)]
+    rows = [(i, "\n".join(rng.sample(lines, 6) + [prose(rng, 9)]), "en", "s") for i in range(60)] + [(60, None, "en", "s"), (61, "", "en", "s"), (None, lines[0], "en", "s")]
+    digest = lambda df: sorted((str(r.doc_id), r.ld_n_lines, r.ld_n_dropped, r.ld_text) for r in df.collect())
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    index, held = line_dedup.LineIndex(spark), {}
+
+    def check():
+        now = documents(spark, [rows[k] for k in sorted(held)])
+        assert digest(index.clean(now, ["doc_id"])) == sorted((str(i), n, d, t) for i, n, d, t in brute_cleaned([rows[k] for k in sorted(held)]))
+        keys = {(r.h1, r.h2) for r in index.repeated().collect()}
+        assert index.n_keys == len(keys)
+        shards = {r.shard: line_dedup.CuckooFilter.from_bytes(bytes(r.body)) for r in index.table("filters").collect()}
+        assert all(shards[h1 % index.n_shards].contains(np.array([h2])).all() for h1, h2 in keys)
+        assert sum(int((f.table > 0).sum()) for f in shards.values()) == len(keys)
+
+    def insert(ks):
+        index.insert(documents(spark, [rows[k] for k in ks]))
+        held.update(dict.fromkeys(ks))
+
+    def delete(ks):
+        index.delete(spark.createDataFrame([(rows[k][0],) for k in ks], "doc_id long"))
+        for k in ks:
+            held.pop(k, None)
+
+    insert(range(30))
+    check()
+    insert(range(30, 63))
+    check()
+    delete([*range(10), 55, 59, 62])
+    check()
+    insert([3, 4, 59])
+    delete(range(20, 50))
+    check()
+    assert index.n_shards > 1
 
 
 def test_cuckoo_filter():
