@@ -164,15 +164,31 @@ def map_text(
     return df.select(*[quoted(c) for c in columns]).mapInArrow(run, schema)
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session without one (tests) gets a folder of its own."""
+    """This application's folder in the one all executors share, deleted when the driver's JVM ends.
+
+    Where spark.checkpoint.dir is unset, a local session (as in tests) gets a folder of its own; on a cluster
+    that is an error, since executors and driver would not see each other's files.
+    """
     at = spark.conf.get("spark.checkpoint.dir", "")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="quillwork-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    app = f"{at.rstrip('/')}/quillwork-{spark.sparkContext.applicationId}"
+    if app not in _folders:
+        java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(app)
+        files = java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(java)
+        files.deleteOnExit(java)
+        _folders[app] = app
+    return app
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

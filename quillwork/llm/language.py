@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,7 +28,7 @@ PENALTY = 2.0
 LEAST_SHARE = 0.01
 SMALL = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes other than letters become spaces.
 _FOLD = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
@@ -173,8 +173,9 @@ def predict(documents: DataFrame, model: Model, keep: list[str], text: str = "te
 
     A null text, one without a letter, and any text under a model of no languages gets `und`, score 0 and an
     empty mixture. Shares within 1e-12 go to the language first in order. A text is scored by itself, from
-    its letters only.
+    its letters only. A kept column called as one of these is replaced.
     """
+    keep = [c for c in keep if c.lower() not in {f.name for f in FIELDS}]
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def factory():

@@ -265,6 +265,7 @@ def scan(documents: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 
         return work
 
+    keep = [c for c in keep if c.lower() not in {f.name for f in FIELDS}]  # results replace columns of their names
     return map_text(documents, text, keep, FIELDS, factory)
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillwork.llm._rows import cut, quoted
+from quillwork.llm._rows import cut, fresh, quoted
 
 #: Items that one node of the reduction tree folds: depth grows as the log of the items to this base.
 FAN = 64
 
+#: Rows of one repeated item are numbered in so many parts.
+ROW_PARTS = 256
+
 #: What counts as a word for sizes: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,27 +25,41 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     """For each source of (source, n_items, source_size): its target, min(most * size, level * weight), with
     the level at which the targets sum to share times all sizes.
 
-    Sources in order of code points, null last, take the weights in turn. One row a source meets in one
-    task here; documents don't. The level: with sources by falling need of a cap (size / weight, rising),
-    the first at which sharing the rest of the total by the weights of the rest needs no cap.
+    Sources in order of code points, null last, take the weights in turn. The level: with sources by falling
+    need of a cap (size / weight, rising), the first at which sharing the rest of the total by the weights of
+    the rest needs no cap. Ranks and running sums are taken range by range, so no task meets all sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    out = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
+    named = ranked(sizes, [F.col("source").isNull().alias("last"), F.col("source").alias("name")], [])
+    out = named.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))).drop("rank")
     out = out.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.lit(float(share)) * F.sum("source_size").over(everything)
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    out = out.withColumn("level", level).withColumn("at", F.row_number().over(order))
-    fits = F.when(F.col("level") <= F.col("full_at"), F.col("at"))
-    out = out.withColumn("level", F.min_by("level", fits).over(everything))
-    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    out = ranked(out, [F.col("full_at").alias("full"), F.col("source").isNull().alias("last"), F.col("source").alias("name")], ["cap", "weight"])
+    total = out.agg(F.sum("source_size").alias("s"), F.sum("weight").alias("w")).first()
+    left = F.lit(float(share) * (total["s"] or 0)) - F.col("before_cap")
+    out = out.withColumn("level", left / (F.lit(float(total["w"] or 1)) - F.col("before_weight")))
+    level = out.where(F.col("level") <= F.col("full_at")).agg(F.min_by("level", "rank")).first()[0]
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.lit(float(level)) * F.col("weight"))
     return out.select("source", "n_items", "source_size", target.alias("target"))
 
 
+def ranked(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """df with each row's rank by `order`, a total order, and before_<c>: the sum of c over the rows before it.
+
+    Rows are dealt by ranges of the order and written, which fixes the ranges; windows run inside them, and
+    each range learns the totals of those before it, one row a range.
+    """
+    keyed = df.withColumn("order", F.struct(*order))
+    dealt = cut(keyed.repartitionByRange("order").withColumn("range", F.spark_partition_id()), "mix-ranges")
+    totals = dealt.groupBy("range").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+    past = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"past_{c}") for c in ["rows", *(f"all_{x}" for x in sums)]])
+    inside = Window.partitionBy("range").orderBy("order")
+    out = dealt.join(totals, "range").withColumn("rank", F.row_number().over(inside) + F.col("past_rows"))
+    for c in sums:
+        own = F.coalesce(F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        out = out.withColumn(f"before_{c}", own + F.col(f"past_all_{c}"))
+    return out.drop("order", "range", "past_rows", *[f"past_all_{c}" for c in sums])
+
+
 def _uniform(*columns: Column) -> Column:
     """A number in [0, 1) from a hash: the same in every run and on every retry."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / F.lit(float(1 << 53))
@@ -154,17 +171,28 @@ def contract(documents: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", **params) -> DataFrame:
-    """The mixed documents: every row as often as `plan` takes it, with mix_copy (0, 1) and mix_target."""
+    """The mixed documents: every row as often as `plan` takes it, with mix_copy (0, 1) and mix_target.
+
+    Columns of the input may have any names; where these two are taken, they get underscores. Null and
+    repeated rows are as in `plan`.
+    """
     names = documents.columns
-    goals = plan(documents, text, doc_id, source, **params).where("n_copies > 0")
-    goals = goals.select(F.struct("doc_id", "source", "size").alias("mix_key"), "n_rows", "n_copies", F.col("target").alias("mix_target"))
-    goals = goals.select("mix_key", F.col("n_rows").alias("mix_rows"), F.col("n_copies").alias("mix_copies"), "mix_target")
-    key = F.struct(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("source"), words(F.col(quoted(text))).alias("size"))
-    kept = documents.withColumn("mix_own", key).join(goals, F.col("mix_own") == F.col("mix_key"))
-    base, more = _spread(F.col("mix_rows"), F.col("mix_copies"))
-    single = kept.where("mix_rows = 1").withColumn("mix_n", F.col("mix_copies"))
-    row = F.row_number().over(Window.partitionBy("mix_key").orderBy(F.xxhash64(quoted(text))))
-    many = kept.where("mix_rows > 1").withColumn("mix_n", base + F.when(row <= more, 1).otherwise(0))
-    out = single.unionByName(many).where("mix_n > 0")
-    out = out.withColumn("mix_copy", F.explode(F.expr("sequence(0L, mix_n - 1)")))
-    return out.select(*[quoted(c) for c in names], "mix_copy", "mix_target")
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    body, own_id, own_source = (F.col(f"c{names.index(c)}") for c in (text, doc_id, source))
+    goals = plan(documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(source)).alias("source"), F.col(quoted(text)).alias("text")), **params).where("n_copies > 0")
+    goals = goals.select(F.struct("doc_id", "source", "size").alias("key"), "n_rows", "n_copies", "target")
+    key = F.struct(own_id.alias("doc_id"), own_source.alias("source"), words(body).alias("size"))
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(ROW_PARTS))
+    kept = plain.withColumn("key", key).withColumn("part", part).join(goals, "key")
+    base, more = _spread(F.col("n_rows"), F.col("n_copies"))
+    single = kept.where("n_rows = 1").withColumn("n", F.col("n_copies"))
+    # rows of a repeated item are numbered part by part, so that one item's rows are not one task's
+    many = cut(kept.where("n_rows > 1"), "mix-many")
+    sizes = many.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    row = F.row_number().over(Window.partitionBy("key", "part").orderBy(F.xxhash64(body))) + F.col("before")
+    many = many.join(sizes.select("key", "part", before.alias("before")), ["key", "part"]).withColumn("n", base + F.when(row <= more, 1).otherwise(0)).drop("before")
+    out = single.unionByName(many.select(*single.columns)).where("n > 0")
+    out = out.withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
+    copy = fresh(names, "mix_copy")
+    return out.select(*plain.columns, "copy", "target").toDF(*names, copy, fresh([*names, copy], "mix_target"))

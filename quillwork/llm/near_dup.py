@@ -197,6 +197,21 @@ def verified(blocks: DataFrame, threshold: float) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
+#: Rows of one group are dealt over so many keys where each of them must learn a sum of its group.
+SALTS = 64
+
+
+def with_sums(df: DataFrame, group: str, first: list, second: list) -> DataFrame:
+    """df with aggregates of each row's group: `first` over each of SALTS parts of it, `second` over those.
+
+    Rows meet their sums by (group, part), so that a group of a third of all rows is not one task's.
+    """
+    dealt = df.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)))
+    parts = dealt.groupBy(group, "salt").agg(*first)
+    sums = parts.select(group, "salt").join(parts.groupBy(group).agg(*second), group)
+    return dealt.join(sums, [group, "salt"]).drop("salt")
+
+
 def join(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, threshold: float = 0.8, recall: float = 0.9995) -> DataFrame:
     """(doc_id, class_id, copy_id, n_copies, n_links, n_text_links) of every row of documents.
 
@@ -220,17 +235,16 @@ def join(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     shared = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("star")).where("m > 1"), "near-buckets")
     members = cut(placed.join(shared, "bucket"), "near-members")
     parts = cut(components(members.select(F.col("k").alias("u"), F.col("star").alias("v"))).withColumnsRenamed({"node": "k"}), "near-parts")
-    weight = parts.join(classes.select("k", "grams"), "k").groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("grams").alias("g"))
-
     def n_blocks(count, grams):
         return F.greatest(F.ceil(count / F.lit(float(BLOCK))), F.ceil(grams / F.lit(float(BLOCK_GRAMS))), F.lit(1))
 
-    sized = parts.join(weight.select("root", n_blocks(F.col("c"), F.col("g")).alias("blocks")), "root")
+    sizes = [F.count(F.lit(1)).alias("c"), F.sum("grams").alias("g")]
+    sized = with_sums(parts.join(classes.select("k", "grams"), "k"), "root", sizes, [F.sum("c").alias("c"), F.sum("g").alias("g")]).withColumn("blocks", n_blocks(F.col("c"), F.col("g")))
     whole = sized.where(F.col("blocks") <= MOST_BLOCKS).select("k", F.xxhash64("root").alias("unit"), F.lit(-1).alias("band"), "blocks")
     large = sized.where(F.col("blocks") > MOST_BLOCKS).select("k")
     by_bucket = members.join(large, "k", "left_semi").join(classes.select("k", "grams"), "k")
-    bucket_size = by_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.sum("grams").alias("g"))
-    buckets = by_bucket.join(bucket_size, "bucket").select("k", F.col("bucket").alias("unit"), "band", n_blocks(F.col("c"), F.col("g")).alias("blocks"))
+    buckets = with_sums(by_bucket, "bucket", sizes, [F.sum("c").alias("c"), F.sum("g").alias("g")])
+    buckets = buckets.select("k", F.col("bucket").alias("unit"), "band", n_blocks(F.col("c"), F.col("g")).alias("blocks"))
     units = whole.unionByName(buckets).groupBy("k").agg(F.collect_list(F.struct("unit", "band", "blocks")).alias("units"))
     # a class has one unit, or one for each of its bands
 
@@ -253,10 +267,11 @@ def join(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     counts = links.groupBy("k").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_docs").alias("n_docs"))
     groups = components(links.select(F.col("k").alias("u"), F.col("root").alias("v"))).withColumnsRenamed({"node": "k"})
     named = groups.join(classes.select("k", "rep"), "k")
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    facts = classes.select("k", "rep", "docs").join(named.join(least, "root").select("k", "class_id"), "k", "left").join(counts, "k", "left")
+    named = with_sums(named, "root", [F.min("rep").alias("class_id")], [F.min("class_id").alias("class_id")])
+    facts = classes.select("k", "rep", "docs").join(named.select("k", "class_id"), "k", "left").join(counts, "k", "left")
     facts = cut(facts.select("k", F.col("rep").alias("copy_id"), "docs", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_docs", F.lit(0)).alias("n_docs")), "near-facts")
-    out = light.select("doc_id", "k").join(facts, "k", "left")
+    # texts without words meet nothing, so their one null key goes round the join
+    out = with_words.select("doc_id", "k").join(facts, "k", "left").unionByName(light.where("k is null").select("doc_id", "k"), allowMissingColumns=True)
     return out.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -278,5 +293,8 @@ def keep_one(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     Ids are taken to be unique, as in `documents`; rows that share an id stay or go together.
     """
-    gone = join(documents, text, doc_id).where("doc_id <> class_id").select(F.col("doc_id").alias("nd_id")).distinct()
-    return documents.join(gone, F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(-(1 << 63))) == F.col("nd_id"), "left_anti")
+    names = documents.columns
+    gone = join(documents.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"))).where("doc_id <> class_id").select("doc_id").distinct()
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    own = F.coalesce(F.col(f"c{names.index(doc_id)}").cast("long"), F.lit(-(1 << 63)))
+    return plain.join(gone, own == F.col("doc_id"), "left_anti").toDF(*names)

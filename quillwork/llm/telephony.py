@@ -160,8 +160,10 @@ def decode(media: DataFrame, keep: list[str], content: str = "content", rate: in
     """Columns `keep`, then ta_rate, ta_pcm (16-bit little-endian samples at `rate`), ta_error of each file.
 
     Mono RIFF files of mu-law, A-law, IMA ADPCM or PCM. Null, empty, broken and other files have null
-    ta_pcm and a reason in ta_error. Files stay one for one; each is decoded by itself, in its own task.
+    ta_pcm and a reason in ta_error. Files stay one for one; each is decoded by itself. A kept column called as
+    one of these is replaced.
     """
+    keep = [c for c in keep if c.lower() not in ("ta_rate", "ta_pcm", "ta_error")]
 
     def work(bodies):
         rates, pcm, errors = [], [], []
@@ -188,9 +190,9 @@ def payload_of(text: bytes | None) -> bytes:
     return body + b"\0" * (max(1, -(-len(body) // UNIT)) * UNIT - len(body))
 
 
-def features(payloads: list[bytes]) -> list[str]:
+def features(payloads: list[bytes], pcm: list[bytes]) -> list[str]:
     """Of payloads taken as mu-law, as A-law and as ADPCM blocks of UNIT bytes: root mean square, peak and sign
-    changes, and the checksum of the mu-law samples resampled to 16 kHz. Whole numbers only."""
+    changes, and the checksum of the resampled mu-law samples. Whole numbers only."""
     whole = np.frombuffer(b"".join(payloads), np.uint8)
     adpcm = ima_blocks(whole.reshape(-1, UNIT)) if len(whole) else None
     out, at = [], 0
@@ -200,11 +202,11 @@ def features(payloads: list[bytes]) -> list[str]:
         level = int(np.sqrt(float(wide @ wide // len(x))))
         return f"{level},{int(np.abs(wide).max())},{int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))}"
 
-    for p in payloads:
+    for p, samples in zip(payloads, pcm, strict=True):
         raw = np.frombuffer(p, np.uint8)
         mu = MULAW_TABLE[raw]
         n = len(raw) // UNIT
-        out.append(f"mu={said(mu)};a={said(ALAW_TABLE[raw])};ima={said(adpcm[at : at + n].reshape(-1))};pcm16k={zlib.crc32(resample(mu, 8000, 16000).astype('<i2').tobytes()):08x}")
+        out.append(f"mu={said(mu)};a={said(ALAW_TABLE[raw])};ima={said(adpcm[at : at + n].reshape(-1))};pcm16k={zlib.crc32(samples):08x}")
         at += n
     return out
 
@@ -217,32 +219,47 @@ FIELDS = [
     StructField("media_bytes", LongType()),
     StructField("media_sha256", StringType()),
     StructField("feature", StringType()),
+    StructField("pcm_bytes", LongType()),
+    StructField("pcm_sha256", StringType()),
 ]
+#: The stored columns: the RIFF file of mu-law samples, and 16-bit little-endian samples at PCM_RATE.
+BODIES = [StructField("ta_media", BinaryType()), StructField("ta_pcm", BinaryType())]
+PCM_RATE = 16000
 
 
-def stored(documents: DataFrame, keep: list[str], text: str = "text", writer: Callable[[bytes], bytes] = lambda p: to_wav(p, MULAW)) -> DataFrame:
-    """Columns `keep` and FIELDS: each text as the mu-law samples of a telephone recording, written, read back.
+def stored(documents: DataFrame, keep: list[str], text: str = "text", writer: Callable[[bytes], bytes] = lambda p: to_wav(p, MULAW), bodies: bool = True) -> DataFrame:
+    """Columns `keep`, FIELDS and BODIES: each text as the mu-law samples of a telephone recording, written, read back,
+    expanded and resampled.
 
     The text's UTF-8 bytes, null as none, are padded with zeros to a positive multiple of UNIT, stored as
-    mu-law samples in a RIFF file, and read back from it; the checksums and features are of what is read.
+    mu-law samples in a RIFF file, and read back from it; ta_pcm holds what they expand to at PCM_RATE. The
+    checksums and features are of what is read. Without bodies, the stored columns are left out and only told
+    by their sizes and checksums. A kept column called as one of these is replaced.
     """
+    made = [*FIELDS, *(BODIES if bodies else [])]
+    keep = [c for c in keep if c.lower() not in {f.name for f in made}]
 
     def work(texts):
         media = [writer(payload_of(t)) for t in texts]
-        back = [from_wav(m)[3] for m in media]
-        return [
+        back = [from_wav(m) for m in media]
+        pcm = [resample(expand(kind, block, body), rate, PCM_RATE).astype("<i2").tobytes() for kind, rate, block, body in back]
+        back = [b[3] for b in back]
+        out = [
             [len(t or b"") for t in texts],
             [len(p) for p in back],
             [hashlib.sha256(p).hexdigest() for p in back],
             [zlib.crc32(p[-UNIT:]) for p in back],
             [len(m) for m in media],
             [hashlib.sha256(m).hexdigest() for m in media],
-            features(back),
+            features(back, pcm),
+            [len(x) for x in pcm],
+            [hashlib.sha256(x).hexdigest() for x in pcm],
         ]
+        return [*out, media, pcm] if bodies else out
 
-    return map_text(documents, text, keep, FIELDS, lambda: work)
+    return map_text(documents, text, keep, made, lambda: work)
 
 
 def contract(documents: DataFrame) -> DataFrame:
     """One row per document for op7."""
-    return stored(documents, ["doc_id"])
+    return stored(documents, ["doc_id"], bodies=False)

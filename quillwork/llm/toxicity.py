@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from quillwork.llm._rows import crc_mod, cut, key_text, map_text, quoted
 from quillwork.llm.near_dup import gram_set
@@ -28,9 +28,9 @@ ONE_EDIT, TWO_EDITS = 5, 10
 #: Words on each side of a hit that are looked at.
 CONTEXT = 8
 
-# Words near a term that is mentioned, not used; words that point it at somebody.
-MENTION = frozenset("word words term said says say quote quoted quotes quoting wrote called defined definition means meaning spelled translated example".split())
-POINTED = frozenset("you your yours youre u ur he she they him her them all such".split())
+#: A word near terms tells abuse from quotation if its log odds between toxic and clean texts with terms, less two
+#: standard errors, reach this; quotation marks around a term tell QUOTED for quotation.
+LEAST_CONTEXT, QUOTED = 0.5, 1.0
 _OPEN, _CLOSE = "\"'“‘«(`", "\"'”’»)`"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -111,8 +111,10 @@ class Lexicon:
     """(term, is it a stem, weight, match misspelled) entries and what is made of them to look words up."""
 
     entries: list[tuple[str, bool, float, bool]] = field(default_factory=list)
-    #: words near a term that clean texts hold too
+    #: what looks like a misspelled term, but stands in clean texts
     ordinary: set[str] = field(default_factory=set)
+    #: words near a term and how much they speak for abuse, or below 0 for quotation
+    context: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.trie = Trie()
@@ -199,8 +201,8 @@ class Words(dict):
         return found
 
 
-def hits_of(text: str, words: Words) -> list[tuple[int, int, float, str]]:
-    """(start, end, weight, how) of each term in the text; how: used, mentioned, misspelled."""
+def finds(text: str, words: Words) -> list[tuple[int, int, float, float, str, bool, list[str]]]:
+    """(start, end, weight as a term, weight as a misspelled one, word, in quotation marks, words around) of each term."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -214,17 +216,24 @@ def hits_of(text: str, words: Words) -> list[tuple[int, int, float, str]]:
     out = []
     for i, (a, b, w) in enumerate(places):
         found = words[w]
-        if not found:
-            continue
-        around = [x[2] for x in places[max(0, i - CONTEXT) : i] + places[i + 1 : i + 1 + CONTEXT]]
-        quoted_ = a > 0 and b < len(low) and low[a - 1] in _OPEN and low[b] in _CLOSE
-        mention = quoted_ + sum(x in MENTION for x in around)
-        pointed = sum(x in POINTED for x in around)
-        how = "misspelled" if found[0] == 0.0 else "mentioned" if mention > pointed else "used"
-        out.append((a, b, found[0] or found[1], how))
+        if found:
+            around = [x[2] for x in places[max(0, i - CONTEXT) : i] + places[i + 1 : i + 1 + CONTEXT]]
+            out.append((a, b, *found, w, a > 0 and b < len(low) and low[a - 1] in _OPEN and low[b] in _CLOSE, around))
     return out
 
 
+def how(lexicon: Lexicon, near: float, quoted_: bool, around: list[str]) -> str:
+    """used, mentioned or misspelled: a term is mentioned where its quotation marks and the words around say so."""
+    if near:
+        return "misspelled"
+    return "mentioned" if QUOTED * quoted_ - sum(lexicon.context.get(w, 0.0) for w in around) >= QUOTED else "used"
+
+
+def hits_of(text: str, words: Words) -> list[tuple[int, int, float, str]]:
+    """(start, end, weight, how) of each term in the text."""
+    return [(a, b, exact or near, how(words.lexicon, near, q, around)) for a, b, exact, near, _, q, around in finds(text, words)]
+
+
 HOWS = ("used", "mentioned", "misspelled")
 
 
@@ -334,8 +343,10 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     hash of five words one stays, so that copies don't count a term again and again. Terms are counted by
     documents, with partial sums; a term enters if its log odds less two standard errors reach LEAST_WEIGHT;
     the sample bounds their number.
-    What looks like a misspelling but stands in a clean text is an ordinary word. Without labels or texts the
-    lexicon is empty and the score is the prior's.
+    What looks like a misspelling but stands in a clean text is an ordinary word. Words around terms that stand
+    in toxic texts far more often than in clean ones, or the other way, tell use from mention. The driver
+    gets such words and three numbers for each text of the sample with terms. Without labels or texts the lexicon
+    is empty and the score is the prior's.
     """
     known = labels.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     n = known.count()
@@ -362,21 +373,52 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
         words = Words(held.value)
 
         def work(texts):
-            found = []
-            for t in texts:
-                text = t.decode("utf-8", "replace")
-                found.append([{"weight": w, "how": how, "word": text[a:b].lower()} for a, b, w, how in hits_of(text, words)])
-            return [found]
+            found = [finds(t.decode("utf-8", "replace"), words) for t in texts]
+            return [[[{"exact": e, "near": n, "word": w, "quoted": q, "around": around} for _, _, e, n, w, q, around in f] for f in found]]
 
         return work
 
-    kind = ArrayType(StructType([StructField("weight", DoubleType()), StructField("how", StringType()), StructField("word", StringType())]))
-    seen = [(r["y"], [(0, 0, h["weight"], h["how"], h["word"]) for h in r["hits"]]) for r in map_text(sample, "text", ["y"], [StructField("hits", kind)], factory).where(F.size("hits") > 0).collect()]
-    lexicon.ordinary = {h[4] for y, hits in seen for h in hits if not y and h[3] == "misspelled"}
-    rest = {1: n_pos - sum(y for y, _ in seen), 0: n_neg - sum(1 - y for y, _ in seen)}
-    seen += [(y, []) for y, n in rest.items() for _ in range(n)]
-    x = np.array([signals([h[:4] for h in hits if h[3] != "misspelled" or h[4] not in lexicon.ordinary]) for _, hits in seen])
-    return Model(lexicon, fit(x, np.array([y for y, _ in seen], float)))
+    kind = ArrayType(StructType([StructField("exact", DoubleType()), StructField("near", DoubleType()), StructField("word", StringType()), StructField("quoted", BooleanType()), StructField("around", ArrayType(StringType()))]))
+    met = map_text(sample, "text", ["y"], [StructField("hits", kind)], factory).where(F.size("hits") > 0)
+    met = cut(met.withColumn("at", F.monotonically_increasing_id()), "toxic-hits")
+    each = met.select("at", "y", F.explode("hits").alias("h"))
+    lexicon.ordinary = {r["w"] for r in each.where("y = 0 and h.near > 0").select(F.col("h.word").alias("w")).distinct().collect()}
+    lexicon.context = _context(each.where("h.near = 0"))
+    held = sample.sparkSession.sparkContext.broadcast(lexicon)
+    x, y = _signals(met, held)
+    rest = [(k, n - int((y == k).sum())) for k, n in ((1, n_pos), (0, n_neg))]
+    x = np.concatenate([x, *(np.tile(signals([]), (n, 1)) for _, n in rest)])
+    return Model(lexicon, fit(x, np.concatenate([y, *(np.full(n, k, float) for k, n in rest)])))
+
+
+def _context(each: DataFrame) -> dict[str, float]:
+    """Weights of the words around terms, from the texts (at, y) with terms h that hold them; the sample bounds them."""
+    texts = {r["y"]: r["n"] for r in each.groupBy("y").agg(F.countDistinct("at").alias("n")).collect()}
+    if len(texts) < 2:
+        return {}
+    near = each.select("at", "y", F.explode("h.around").alias("w")).distinct().groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
+    odds = F.log(a / (texts[1] + 1)) - F.log(b / (texts[0] + 1))
+    told = near.withColumn("odds", odds).where(F.abs("odds") - 2 * F.sqrt(1 / a + 1 / b) >= LEAST_CONTEXT)
+    return {r["w"]: float(r["odds"]) for r in told.select("w", "odds").collect()}
+
+
+def _signals(met: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
+    """What the classifier sees of the sample's texts with terms, three numbers a text, and their labels."""
+    schema = StructType([StructField("x", ArrayType(DoubleType())), StructField("y", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        lexicon = held.value
+        for batch in batches:
+            rows = [
+                signals([(0, 0, h["exact"] or h["near"], how(lexicon, h["near"], h["quoted"], h["around"])) for h in hits if not (h["near"] and h["word"] in lexicon.ordinary)])
+                for hits in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, arrow.field(0).type), batch.column(0).cast(pa.int64())], schema=arrow)
+
+    rows = met.select("y", "hits").mapInArrow(run, schema).collect()
+    return np.array([r["x"] for r in rows], float).reshape(-1, len(PRIOR)), np.array([r["y"] for r in rows], float)
 
 
 _HIT = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("weight", DoubleType()), StructField("how", StringType())]))
@@ -386,8 +428,10 @@ FIELDS = [StructField("tox_score", DoubleType()), StructField("tox_hits", _HIT)]
 def score(documents: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep`, the chance that the text is toxic, and the terms found with places and how they stand.
 
-    Null and empty texts have no terms and get the score of such a text. Rows stay one for one.
+    Null and empty texts have no terms and get the score of such a text. Rows stay one for one. A kept column
+    called as one of these is replaced.
     """
+    keep = [c for c in keep if c.lower() not in {f.name for f in FIELDS}]
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def factory():
@@ -421,4 +465,6 @@ def contract(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(documents: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The documents that the model of their own labels (held-out ids aside) does not call toxic, unchanged."""
     names = documents.columns
-    return score(documents, model_of(documents, labels), names, text).where("tox_score < 0.5").select(*[quoted(c) for c in names])
+    plain = [f"c{i}" for i in range(len(names))]
+    out = score(documents.toDF(*plain), model_of(documents, labels), plain, plain[names.index(text)])
+    return out.where("tox_score < 0.5").select(*plain).toDF(*names)
