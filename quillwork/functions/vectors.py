@@ -19,14 +19,8 @@ def total(v: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    """V4: sum of products over the shorter of the two."""
-    n = F.least(F.size(a), F.size(b))
-    return total(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x * y))
-
-
-def dot_equal(a: Column, b: Column) -> Column:
-    """Dot product of vectors known to be of equal length."""
-    return total(F.zip_with(a, b, lambda x, y: x * y))
+    """V4: sum of products over the shorter of the two; what one of them lacks adds nothing."""
+    return total(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))))
 
 
 def norm(v: Column) -> Column:
@@ -34,9 +28,9 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """V3: cosine over the shorter length; 0 if either vector is zero or empty."""
+    """V3: products over the shorter length, over both whole norms; 0 if either vector is zero or empty."""
     size = norm(a) * norm(b)
-    return F.when(size > 0, dot_equal(a, b) / size).otherwise(F.lit(0.0))
+    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
 def normalized(v: Column) -> Column:

@@ -58,15 +58,37 @@ def distance(t: Column, start: Column, end: Column) -> Column:
     return F.when(t < a, a - t).when(t > b, t - b).otherwise(F.lit(0.0))
 
 
-def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, point_id: str, t: str, start: str, end: str, tie: str) -> DataFrame:
+def in_cells(rows: DataFrame, low: Column, high: Column, width: float) -> DataFrame:
+    """Each row once for every cell of `width` that [low, high] touches, as `cell`: with the key, the cell makes a join on
+    nearness in time an equi-join whose candidates follow the density, not the length of a clip."""
+    return rows.withColumn("cell", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+
+
+def nearest_interval(points: DataFrame, intervals: DataFrame, key: str, point_id: str, t: str, start: str, end: str, tie: str, width: float = 8.0) -> DataFrame:
     """The interval of the same key nearest to each point, ties by start, then `tie`.
 
-    The best is kept as a minimum in the aggregation, so a point's candidates are never sorted or gathered.
+    Three candidates decide: of the intervals around the point the first, met by cells of `width`; the last that ended
+    before; the next that begins after. The latter two come from running values over points and edges in
+    order of time, so nothing is paired along a clip. A missing edge is the other one; intervals without any go.
     """
-    both = points.join(intervals, key)
-    best = F.struct(distance(F.col(t), F.col(start), F.col(end)).alias("distance"), F.col(start).alias("start"), F.col(tie).alias("tie"), F.col(end).alias("end"))
-    out = both.groupBy(key, point_id, t).agg(F.min(best).alias("best"))
-    return out.select(key, point_id, t, F.col("best.tie").alias(tie), F.col("best.start").alias(start), F.col("best.end").alias(end), "best.distance")
+    own = intervals.select(key, start, end, tie, F.coalesce(start, end).alias("x"), F.coalesce(end, start).alias("y")).where("x is not null")
+    own = own.select(key, start, end, tie, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    own = own.select(key, "a", "b", F.struct(F.col(start).alias("start"), F.col(tie).alias("tie"), F.col(end).alias("end"), "a", "b").alias("own"))
+    at = points.select(key, point_id, F.col(t).alias("t"))
+    around = at.withColumn("cell", F.floor(F.col("t") / width)).join(in_cells(own, F.col("a"), F.col("b"), width), [key, "cell"]).where("t between a and b")
+    found = around.select(key, point_id, "t", "own")
+    none = F.lit(None).cast(own.schema["own"].dataType)
+    asked = at.select(key, F.col("t").alias("at"), point_id, "t", none.alias("own"))
+    nobody = F.lit(None).cast(at.schema[point_id].dataType).alias(point_id)
+    for edge, direction in (("b", F.asc), ("a", F.desc)):
+        edges = own.select(key, F.col(edge).alias("at"), nobody, F.lit(None).cast("double").alias("t"), "own")
+        # of edges at one time the one to win comes last
+        w = Window.partitionBy(key).orderBy(direction("at"), F.desc("own.start"), F.desc("own.tie")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        near = asked.unionByName(edges).withColumn("near", F.last("own", ignorenulls=True).over(w))
+        found = found.unionByName(near.where("t is not null and near is not null").select(key, point_id, "t", F.col("near").alias("own")))
+    best = F.struct(distance(F.col("t"), F.col("own.a"), F.col("own.b")).alias("distance"), F.col("own.start").alias("start"), F.col("own.tie").alias("tie"), F.col("own.end").alias("end"))
+    out = found.groupBy(key, point_id, "t").agg(F.min(best).alias("best"))
+    return out.select(key, point_id, F.col("t").alias(t), F.col("best.tie").alias(tie), F.col("best.start").alias(start), F.col("best.end").alias(end), "best.distance")
 
 
 def nearest_point(left: DataFrame, right: DataFrame, key: str, left_id: str, t: str, right_id: str, s: str, tolerance: float) -> DataFrame:
@@ -85,9 +107,12 @@ def nearest_point(left: DataFrame, right: DataFrame, key: str, left_id: str, t:
 
 
 def active_at(points: DataFrame, ranges: DataFrame, key: str, point_id: str, t: str, start: str, end: str, name: str, tolerance: float = 2.5) -> DataFrame:
-    """What is active at a time: a range around it, else the nearest within the tolerance, later ends first."""
+    """What is active at a time: a range around it, else the nearest within the tolerance, later ends first.
+    Points and ranges meet by cells of twice the tolerance."""
     gap = distance(F.col(t), F.col(start), F.col(end))
-    both = points.join(ranges, key).where(gap <= tolerance)
+    low, high = F.coalesce(start, end), F.greatest(start, end)
+    dealt = in_cells(ranges.where(low.isNotNull()), low - tolerance, high + tolerance, 2 * tolerance)
+    both = points.withColumn("cell", F.floor(F.col(t) / (2 * tolerance))).join(dealt, [key, "cell"]).where(gap <= tolerance)
     best = F.struct(gap.alias("gap"), (-F.col(end)).alias("late"), F.col(name).alias("name"))
     found = both.groupBy(key, point_id).agg(F.min(best).alias("best")).select(F.col(key).alias("k_"), F.col(point_id).alias("p_"), F.col("best.name").alias(name), F.col("best.gap").alias("gap"))
     return points.join(found, (F.col(key) == F.col("k_")) & (F.col(point_id) == F.col("p_")), "left").drop("k_", "p_")
@@ -95,10 +120,11 @@ def active_at(points: DataFrame, ranges: DataFrame, key: str, point_id: str, t:
 
 def as_of(points: DataFrame, ranges: DataFrame, key: str, point_id: str, t: str, start: str, end: str, name: str) -> DataFrame:
     """By priority: around the time (0.5 s before to 0.75 s after) 0, ended within 8 s 1, longer ago dropped;
-    ranges that start more than 0.5 s later are skipped."""
+    ranges that start more than 0.5 s later are skipped. They meet by cells of 8 s."""
     x, a, b = F.col(t), F.col(start), F.col(end)
     rank = F.when(a - x > 0.5, None).when((x >= a - 0.5) & (x <= b + 0.75), 0).when((b <= x) & (x - b <= 8), 1).when(x - b > 8, None).otherwise(2)
-    both = points.join(ranges, key).withColumn("priority", rank).where("priority is not null")
+    dealt = in_cells(ranges.where(a.isNotNull() & b.isNotNull()), a - 0.5, F.greatest(a, b) + 8, 8.0)
+    both = points.withColumn("cell", F.floor(x / 8.0)).join(dealt, [key, "cell"]).withColumn("priority", rank).where("priority is not null")
     best = F.struct("priority", F.abs(x - b).alias("gap"), F.col(name).alias("name"))
     return both.groupBy(key, point_id, t).agg(F.min(best).alias("best")).select(key, point_id, t, "best.priority", F.col("best.name").alias(name))
 
@@ -109,8 +135,17 @@ def overlaps(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def overlap_semi(left: DataFrame, right: DataFrame, key: str, a: str, b: str, c: str, d: str) -> DataFrame:
-    """Left rows that a right row of the same key overlaps."""
-    return left.join(right, (left[key] == right[key]) & overlaps(left[a], left[b], right[c], right[d]), "left_semi")
+    """Left rows that a right row of the same key overlaps.
+
+    Over both in order of time, a left row at its end and a right row at its start, the largest end of the right rows so
+    far tells whether one of them reaches over the left row's start.
+    """
+    row = F.struct(*left.columns)
+    events = left.select(key, F.col(b).alias("at"), F.lit(0).alias("side"), F.col(a).alias("edge"), row.alias("row"))
+    events = events.unionByName(right.select(key, F.col(c).alias("at"), F.lit(1).alias("side"), F.col(d).alias("edge"), F.lit(None).cast(events.schema["row"].dataType).alias("row")))
+    w = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("side") == 1, F.col("edge"))).over(w)
+    return events.where("at is not null").withColumn("reach", reach).where("side = 0 and reach > edge").select("row.*")
 
 
 def cumulative_times(rows: DataFrame, by: str, order: list[str], n_words: str, rate: float = 0.45, low: float = 1.0, high: float = 12.0) -> DataFrame:

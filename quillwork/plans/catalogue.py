@@ -148,6 +148,17 @@ def rerank_blend(spark, sf):
     return fusion.rerank_blend(s, "label").select("vec_id", "blend")
 
 
+@query(
+    f"WITH {VEC}, q AS (SELECT e[1:48] AS qe FROM v WHERE vec_id = 0), u AS (SELECT vec_id, e[1:CAST(vec_id % 64 + 1 AS BIGINT)] AS e, qe FROM v, q), n AS (SELECT vec_id, e, qe, CAST(least(len(e), len(qe)) AS BIGINT) AS m FROM u) "
+    "SELECT vec_id, list_sum(list_transform(list_zip(e[1:m], qe[1:m]), lambda p: p[1] * p[2])) / (sqrt(list_sum(list_transform(e, lambda x: x * x))) * sqrt(list_sum(list_transform(qe, lambda x: x * x)))) AS score, list_sum(list_transform(list_zip(e[1:m], qe[1:m]), lambda p: p[1] * p[2])) AS dot FROM n"
+)
+def vec_cosine_unequal(spark, sf):
+    """V3, V4: vectors of 1 to 64 numbers against one of 48."""
+    q = V.literal(query_vector(spark, sf)[:48])
+    v = vec_points(spark, sf).select("vec_id", F.slice("embedding", F.lit(1), (F.col("vec_id") % 64 + 1).cast("int")).alias("e"))
+    return v.select("vec_id", V.cosine(F.col("e"), q).alias("score"), V.dot(F.col("e"), q).alias("dot"))
+
+
 # --- relational --------------------------------------------------------------------------------------
 
 
@@ -212,10 +223,10 @@ def scan_change_capture(spark, sf):
     return relational.change_capture(o.where("k % 7 <> 0"), state, ["k"], ["size"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 11 = 0 AND o_custkey IS NOT NULL)")
 def missing_antijoin(spark, sf):
-    """S9."""
-    seen = load(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers that a part of the orders doesn't name."""
+    seen = load(spark, sf, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return relational.missing(load(spark, sf, "customer"), seen, ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -409,18 +420,12 @@ def title_words(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.concat(F.array_join(F.slice(w, 1, 8), " "), F.when(F.size(w) > 8, F.lit("...")).otherwise(F.lit(""))).alias("title"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9<>]+', ' ', 'g'), ' +', ' ', 'g'))) AS mark FROM documents WHERE NOT regexp_matches(lower(text), '[0-9]')")
-def sentence_signature(spark, sf):
-    """X15, of texts without digits, whose times the two engines' word ends would tell apart."""
-    return load(spark, sf, "documents").where(~F.lower("text").rlike("[0-9]")).select("doc_id", F.md5(T.signature(F.col("text")).cast("binary")).alias("mark"))
-
-
 @query(
     r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+(\.[0-9]+)?[ \t\n\x0B\f\r]*(s|sec|seconds)([^\p{L}\p{N}_]|$)', '<time>\3', 'g'), "
     "'[^a-z0-9<>]+', ' ', 'g'), ' +', ' ', 'g'))) AS mark FROM documents"
 )
-def sentence_signature_all(spark, sf):
-    """X15, of all texts; sentence_signature keeps the rows that its SQL keeps."""
+def sentence_signature(spark, sf):
+    """X15, of all texts."""
     return load(spark, sf, "documents").select("doc_id", F.md5(T.signature(F.col("text")).cast("binary")).alias("mark"))
 
 
@@ -761,11 +766,22 @@ def alias_resolve(spark, sf):
 _TOKC = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 1))"
 
 
-@query(f"WITH q AS (SELECT item_id, {_TOKC.format('text')} AS q FROM benchmark), i AS (SELECT DISTINCT doc_id, unnest({_TOKC.format('text')}) AS token FROM documents), x AS (SELECT item_id, len(q) AS n, unnest(q) AS token FROM q) SELECT x.item_id, i.doc_id, count(*) AS overlap FROM x JOIN i USING (token) GROUP BY 1, 2")
+@query(
+    f"WITH q AS (SELECT item_id, {_TOKC.format('text')} AS q FROM benchmark), i AS (SELECT DISTINCT doc_id, unnest({_TOKC.format('text')}) AS token FROM documents), x AS (SELECT item_id, len(q) AS n, unnest(q) AS token FROM q), "
+    "h AS (SELECT x.item_id, i.doc_id, count(*) AS overlap, count(*) / CAST(any_value(x.n) AS DOUBLE) AS share FROM x JOIN i USING (token) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY share DESC, doc_id) AS rank FROM h) SELECT item_id, doc_id, overlap, share, rank FROM r WHERE rank <= 20"
+)
 def inverted_lookup(spark, sf):
-    """J6."""
+    """The 20 documents that hold most of each query's tokens."""
     q = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"))
-    return knowledge.lookup(q, knowledge.inverted(load(spark, sf, "documents"), "doc_id", "text"), "item_id", "q", "doc_id").select("item_id", "doc_id", "overlap")
+    out = knowledge.lookup(q, load(spark, sf, "documents").select("doc_id", "text"), "item_id", "q", "doc_id", "text", 20)
+    return out.select("item_id", "doc_id", "overlap", "share", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH i AS (SELECT DISTINCT page_id, unnest({_TOKC.format('url')}) AS token FROM pages) SELECT token, count(*) AS n, min(page_id) AS first FROM i GROUP BY token")
+def inverted_index(spark, sf):
+    """The index from token to pages, told by its sizes."""
+    i = knowledge.inverted(load(spark, sf, "pages"), "page_id", "url")
+    return i.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
 
 
 @query(
