@@ -91,6 +91,21 @@ def rerank_document(parts: dict[str, Column]) -> Column:
     return F.concat_ws("\n", *[F.when(F.trim(v) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in parts.items()])
 
 
+def scores_of(output: Column, count: Column) -> Column:
+    """`count` scores from what a re-ranker said in JSON: a number, a list of numbers or of lists, whose last
+    number counts, or objects with a score and perhaps an index. What is missing or no number is 0."""
+    listed = F.when(F.startswith(F.ltrim(output), F.lit("[")), F.from_json(output, "array<string>")).when(output.try_cast("double").isNotNull(), F.array(output))
+    number = lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))
+    field = lambda x, *names: F.coalesce(*[F.get_json_object(x, f"$.{n}") for n in names])
+    plain = F.transform(listed, lambda x: number(F.when(F.startswith(x, F.lit("[")), F.try_element_at(F.from_json(x, "array<string>"), F.lit(-1))).otherwise(x)))
+    ranked = F.transform(listed, lambda x, i: F.struct(F.coalesce(field(x, "index").try_cast("int"), i).alias("at"), number(field(x, "relevance_score", "score")).alias("score")))
+    told = F.exists(listed, lambda x: F.startswith(x, F.lit("{")))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: (i - 1).cast("int"))
+    by_index = F.transform(places, lambda i: F.coalesce(F.try_element_at(F.filter(ranked, lambda r: r["at"] == i), F.lit(-1))["score"], F.lit(0.0)))
+    by_place = F.transform(places, lambda i: F.coalesce(F.get(plain, i), F.lit(0.0)))
+    return F.slice(F.when(F.coalesce(told, F.lit(False)), by_index).otherwise(by_place), F.lit(1), F.greatest(count, F.lit(0)))
+
+
 # What a query asks for.
 DEATH_INTENT = r"\b(killed me|killed by|what killed|who killed|downed me|death|dead)\b"
 KILL_INTENT = r"\b(i|we)\s+(kill|killed|down|downed|shot)|hunter killed|enemy killed|final kill\b"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwork.functions import text as T
+
 # Tags and their keywords.
 RULES: dict[str, tuple[str, ...]] = {
     "kill": ("kill", "eliminated", "frag", "downed", "headshot"),
@@ -38,9 +40,9 @@ RULES: dict[str, tuple[str, ...]] = {
 }
 
 
-def tags(rows: DataFrame, key: str, text: Column, rules: dict[str, tuple[str, ...]] = RULES, most: int = 12) -> DataFrame:
+def tags(rows: DataFrame, key: str, text: Column, rules: dict[str, tuple[str, ...]] = RULES, most: int = 12, game: Column | None = None) -> DataFrame:
     """(key, tag, score, rank): a tag for each rule with a whole-word keyword, 0.45 and 0.2 more a keyword, at
-    most 1; the `most` best, ties by tag.
+    most 1; with a game that has a name, its slug at 0.75 or more; the `most` best, ties by tag.
 
     The rules are literal conditions of one pass over the text; only matched tags become rows.
     """
@@ -49,6 +51,11 @@ def tags(rows: DataFrame, key: str, text: Column, rules: dict[str, tuple[str, ..
     for tag, words in rules.items():
         hits = sum((F.when(low.rlike(rf"\b\Q{w}\E\b"), 1).otherwise(0) for w in words), F.lit(0))
         found.append(F.when(hits > 0, F.struct(F.lit(tag).alias("tag"), F.least(F.lit(1.0), F.lit(0.45) + hits * 0.2).alias("score"))))
+    if game is not None:
+        own, named = T.slug(game), ~F.lower(F.trim(game)).isin("", "ungrouped", "unknown")
+        found.append(F.when(named, F.struct(own.alias("tag"), F.lit(0.75).alias("score"))))
     out = rows.select(key, F.inline(F.array_compact(F.array(*found))))
+    if game is not None:
+        out = out.groupBy(key, "tag").agg(F.max("score").alias("score"))
     w = Window.partitionBy(key).orderBy(F.desc("score"), "tag")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
