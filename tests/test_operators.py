@@ -341,3 +341,31 @@ def test_library_scan(spark, tmp_path):
     files_, groups = files.library_scan(spark, f"file:{tmp_path}")
     assert {r.name for r in files_.where("file_hash is not null").collect()} == {"x.mp4", "X.mp4"}
     assert {r.stem: len(r.related) for r in groups.collect()} == {"x": 2, "y": 0}
+
+
+def test_clip_summaries(spark):
+    from quillwork.operators.clip_summary import summaries
+
+    rows = [
+        (1, "teammate said he is on the left then I got pushed by a shotgun", "Hunt_Showdown_2026-05-11_22-10-03.mp4", ["teammate comms", "shotgun", "death"], [], 24, "audio-video"),
+        (2, "", "boss_lair_shotgun_fight.webm", ["boss", "lair", "shotgun", "gunshots"], None, 13, "video-only"),
+        (3, "teammate called out one in the window", "window_push.mp4", ["teammate comms", "window"], ["enemy visible in window", "gunshots"], 20, "audio-video"),
+        (4, None, "window_push.mp4", ["indoors", "shotgun"], ["active weapon or item: Auto-5", "enemy visible in window", "footsteps before death"], 12, "audio-video"),
+        (5, "enemy on my left and one above us, I am holding the stairs", "direction_callout.mp4", ["teammate comms"], [], 8, "audio-video"),
+        (6, "teammate nearby is downed, teammate pushing right after the callout", "teammate_state.mp4", [], [], 9, "audio-video"),
+        (7, "", "end.mp4", [], ["player was downed; killed with: Mosin; killer: Sam", "detected loadout: Mosin, Knife"], 0, None),
+        (8, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "Hunt Showdown") for r in rows], "id int, transcript string, file_name string, tags array<string>, hints array<string>, n_segments int, modality string, group_name string")
+    got = {r.id: r for r in summaries(df).collect()}
+    assert got[1].summary.startswith("Gameplay clip from Hunt Showdown around death, shotgun and teammate comms with transcript cues: teammate said") and "Indexed into 24 audio-video segments" in got[1].key_moments
+    assert "named 'boss lair shotgun fight' likely involving boss, lair, shotgun and gunshots" in got[2].summary and "indexed as 13 video-only" in got[2].summary and got[2].title == "Boss Lair Shotgun Fight"
+    assert "Audio-video embeddings suggest enemy visible in window and gunshots" in got[3].summary and "Audio-video embedding hints: enemy visible in window, gunshots" in got[3].key_moments
+    assert got[4].summary.startswith("This happens in an indoor fight. You were playing a close-range shotgun position with the Auto-5. Position/movement: ")
+    assert "window angle" in got[4].summary and "footsteps" in got[4].summary and "Current weapon/item: Auto-5" in got[4].summary
+    for part in ("you were holding or watching an angle", "an enemy was to your left", "an enemy was above you"):
+        assert part in got[5].summary
+    for part in ("a teammate was nearby", "a teammate was downed or dead", "a teammate was pushing"):
+        assert part in got[6].summary
+    assert "You were downed by Mosin from Sam" in got[7].summary and "visible loadout: Mosin, Knife" in got[7].summary
+    assert got[8].summary == "Gameplay clip from Hunt Showdown named 'an untitled capture'." and got[8].title == "Gameplay Clip" and got[8].key_moments == []
