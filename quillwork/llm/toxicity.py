@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,6 +20,9 @@ from quillwork.llm.near_dup import gram_set
 MAX_LABELLED = 40_000
 #: A term's log odds less two standard errors must reach this.
 LEAST_WEIGHT = 1.2
+#: A term stands in so many toxic texts at least, and in so many more than by chance that of all terms looked at, about
+#: BY_CHANCE would.
+LEAST_TEXTS, BY_CHANCE = 3, 0.5
 #: Part of a term's weight that a misspelling has.
 MISSPELLED = 0.9
 #: Lengths of word beginnings that can be terms besides whole words.
@@ -28,14 +32,14 @@ ONE_EDIT, TWO_EDITS = 5, 10
 #: Words on each side of a hit that are looked at.
 CONTEXT = 8
 
-#: A word near terms tells abuse from quotation if its log odds between toxic and clean texts with terms, less two
-#: standard errors, reach this; quotation marks around a term tell QUOTED for quotation.
+#: A word near terms tells abuse from quotation if its log odds between toxic and clean texts with terms, less as many
+#: standard errors as chance gives among all such words, reach this; quotation marks around a term tell QUOTED.
 LEAST_CONTEXT, QUOTED = 0.5, 1.0
 _OPEN, _CLOSE = "\"'“‘«(`", "\"'”’»)`"
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words with digits or mask marks inside, each of which stands for any letter.
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9*@$#!]{1,3}[^\W\d_]+)+")
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9*@$#!]{1,3}+[^\W\d_]++)+")
 
 
 class Trie:
@@ -117,56 +121,58 @@ class Lexicon:
     context: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.trie = Trie()
+        self.trie, self.fuzzy = Trie(), Trie()
         self.stems: dict[int, set[str]] = {}
         self.whole: set[str] = set()
-        self.halves: dict[int, tuple[set[str], set[str]]] = {}
+        # what is left of terms without one letter, or without two: a word within so many edits of a term leaves some of it too
+        self.one: set[str] = set()
+        self.two: set[str] = set()
         self.thirds: dict[int, tuple[set[str], set[str], set[str]]] = {}
-        self.fuzzy = Trie()
+        self.longest = max((len(e[0]) for e in self.entries if not e[1]), default=0)
         for term, stem, weight, fuzzy in self.entries:
             self.trie.add(term, stem, weight)
             if stem:
                 self.stems.setdefault(len(term), set()).add(term)
                 continue
             self.whole.add(term)
-            n = len(term)
-            if not fuzzy:
-                continue
-            self.fuzzy.add(term, False, weight)
-            if n >= ONE_EDIT:
-                a, b = self.halves.setdefault(n, (set(), set()))
-                a.add(term[: n // 2 - 1])
-                b.add(term[n // 2 + 1 :])
-            if n >= TWO_EDITS:
-                for part, (i, j) in zip(self.thirds.setdefault(n, (set(), set(), set())), self._cuts(n), strict=True):
-                    part.add(term[i:j])
+            if fuzzy:
+                self.fuzzy.add(term, False, weight)
+                if len(term) >= ONE_EDIT:
+                    self.one |= self._left(term, 1)
+                if len(term) >= TWO_EDITS:
+                    self.two |= self._left(term, 2)
+                    for part, (i, j) in zip(self.thirds.setdefault(len(term), (set(), set(), set())), self._cuts(len(term)), strict=True):
+                        part.add(term[i:j])
+
+    def __getstate__(self):
+        return self.entries, self.ordinary, self.context
+
+    def __setstate__(self, state):
+        self.entries, self.ordinary, self.context = state
+        self.__post_init__()
+
+    @staticmethod
+    def _left(word: str, letters: int) -> set[str]:
+        out = last = {word}
+        for _ in range(letters):
+            last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+            out = out | last
+        return out
 
     @staticmethod
     def _cuts(n: int) -> tuple[tuple[int, int], ...]:
         return (0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)
 
-    def _one_edit(self, word: str) -> bool:
-        """False only for words one edit off no term: one edit, or a swap across the middle, leaves a term's
-        beginning or its end as it is."""
-        n = len(word)
-        for size in range(n - 1, n + 2):
-            if size in self.halves:
-                a, b = self.halves[size]
-                tail = size - size // 2 - 1
-                if word[: size // 2 - 1] in a or word[n - tail :] in b:
-                    return True
-        return False
-
     def _two_edits(self, word: str) -> bool:
-        """False only for words two edits off no term: two edits leave one third of a term as it is, moved by
-        two places at most."""
+        """False only for words two edits off no term: two edits leave one third of a term as it is, moved by two places
+        at most, and they leave something of both without two letters."""
         n = len(word)
-        for size in range(n - 2, n + 3):
+        for size in range(max(TWO_EDITS, n - 2), n + 3):
             if size in self.thirds:
                 for part, (i, j) in zip(self.thirds[size], self._cuts(size), strict=True):
                     moved = range(i, i + 1) if i == 0 else range(n - (j - i), n - (j - i) + 1) if j == size else range(i - 2, i + 3)
                     if any(word[k : k + j - i] in part for k in moved):
-                        return True
+                        return not self.two.isdisjoint(self._left(word, 2))
         return False
 
     def look(self, word: str) -> tuple[float, float]:
@@ -176,9 +182,11 @@ class Lexicon:
         if word in self.ordinary:
             return 0.0, 0.0
         near = 0.0 if word.isalpha() else self.fuzzy.masked(word)
-        if self.halves and self._one_edit(word):
+        # the automata run where they can end: most words leave nothing that a term does
+        n = len(word)
+        if ONE_EDIT - 1 <= n <= self.longest + 1 and (word in self.one or any(word[:i] + word[i + 1 :] in self.one for i in range(n))):
             near = max(near, self.fuzzy.near(word, 1, ONE_EDIT, True))
-        if self.thirds and self._two_edits(word):
+        if n >= TWO_EDITS - 2 and self._two_edits(word):
             near = max(near, self.fuzzy.near(word, 2, TWO_EDITS, False))
         return 0.0, near
 
@@ -298,16 +306,31 @@ def chosen(found: list[tuple[str, bool, float, int, float]]) -> list[tuple[str,
     return [(t, stem, w, not stem) for t, stem, w, _, _ in found if not stem or t in stems]
 
 
+#: Permutations under which copies are told: near copies differ in all of their smallest hashes once in some 600 times.
+LIKENESSES = 4
+_TURNS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
 def _likeness():
-    """The smallest hash of five words in a row: copies share it, and so do most near copies."""
+    """The smallest hashes of five words in a row, each under another permutation: near copies share most of them."""
 
     def work(texts):
         grams = [gram_set(t, 5) for t in texts]
-        return [[int(g[0].view(np.int64)) if len(g) else 0 for g in grams]]
+        return [[((g[None, :] * _TURNS[:, None]).min(1).view(np.int64).tolist() if len(g) else [0] * LIKENESSES) for g in grams]]
 
     return work
 
 
+def _one_of_each(labelled: DataFrame) -> DataFrame:
+    """Rows (at) without those that share a smallest hash with another one: under one permutation after the other, of
+    the rows of one hash the first by id stays. Hashes and ids alone are shuffled."""
+    left = labelled.select("at", "own_id", "y", "like")
+    for k in range(LIKENESSES):
+        kept = F.min_by(F.struct("at", "own_id", "y", "like"), F.struct("own_id", "y", "at")).alias("r")
+        left = left.groupBy(F.col("like")[k].alias("h")).agg(kept).select("r.*")
+    return left.select("at")
+
+
 def _terms(label_at: int):
     schema = StructType([StructField("term", StringType()), StructField("stem", LongType()), StructField("pos", LongType()), StructField("neg", LongType())])
     arrow = to_arrow_schema(schema)
@@ -335,14 +358,38 @@ def _terms(label_at: int):
     return run, schema
 
 
+def _neighbourhoods(sample: DataFrame, terms: set[tuple[str, int]]) -> DataFrame:
+    """(term, stem, places): how many pairs of words before and after each term has in the toxic texts of the sample."""
+    held = sample.sparkSession.sparkContext.broadcast(terms)
+    schema = StructType([StructField("term", StringType()), StructField("stem", LongType()), StructField("around", LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        words, stems = {t for t, s in held.value if not s}, {t for t, s in held.value if s}
+        for batch in batches:
+            out = set()
+            for t in batch.column(0).to_pylist():
+                own = ["", *_WORD.findall(t.lower()), ""]
+                for a, w, b in zip(own, own[1:], own[2:], strict=False):
+                    keys = ([(w, 0)] if w in words else []) + [(w[:n], 1) for n in STEMS if len(w) > n and w[:n] in stems]
+                    if keys:
+                        around = xxhash.xxh3_64_intdigest(f"{a} {b}") - (1 << 63)
+                        out.update((*k, around) for k in keys)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return sample.where("y = 1").select("text").mapInArrow(run, schema).groupBy("term", "stem").agg(F.countDistinct("around").alias("places"))
+
+
 def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Model:
     """A lexicon and the weights of its signals from labelled documents.
 
     Labels of 0 and 1 with an id count, the larger one where an id has several. About MAX_LABELLED ids are
-    picked by their hash, and broadcast for that bound to fetch their texts. Of texts that share their smallest
-    hash of five words one stays, so that copies don't count a term again and again. Terms are counted by
-    documents, with partial sums; a term enters if its log odds less two standard errors reach LEAST_WEIGHT;
-    the sample bounds their number.
+    picked by their hash, and broadcast for that bound to fetch their texts. Of texts that share a
+    smallest hash of five words (see LIKENESSES) one stays, so that copies don't count a term again and again. Terms are counted by
+    documents, with partial sums; a term enters if its log odds less two standard errors reach LEAST_WEIGHT and
+    chance doesn't explain it (BY_CHANCE), neither by its texts nor by the words it stands between; the sample
+    bounds their number.
     What looks like a misspelling but stands in a clean text is an ordinary word. Words around terms that stand
     in toxic texts far more often than in clean ones, or the other way, tell use from mention. The driver
     gets such words and three numbers for each text of the sample with terms. Without labels or texts the lexicon
@@ -352,9 +399,9 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     n = known.count()
     picked = known.where(F.pmod(F.xxhash64(key_text(F.col("id")), F.lit(8)), F.lit(1_000_000)) < F.lit(1_000_000 * min(1.0, MAX_LABELLED / max(1, n))))
     own = documents.select(F.col(quoted(doc_id)).alias("own_id"), F.col(quoted(text)).alias("text")).where("text is not null")
-    labelled = map_text(own.join(F.broadcast(picked), F.col("own_id") == F.col("id")), "text", ["text", "y", "own_id"], [StructField("like", LongType())], _likeness)
-    one = labelled.groupBy("like").agg(F.min_by(F.struct("text", "y"), F.struct("own_id", "y")).alias("one"))
-    sample = cut(one.select("one.text", "one.y"), "toxic-sample")
+    labelled = map_text(own.join(F.broadcast(picked), F.col("own_id") == F.col("id")), "text", ["text", "y", "own_id"], [StructField("like", ArrayType(LongType()))], _likeness)
+    labelled = cut(labelled.withColumn("at", F.monotonically_increasing_id()), "toxic-labelled")
+    sample = cut(labelled.join(_one_of_each(labelled), "at", "left_semi").select("text", "y"), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
@@ -364,8 +411,21 @@ def train(documents: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     weight = F.log(a / (n_pos + 1)) - F.log(b / (n_neg + 1))
     sure = weight - 2 * F.sqrt(1 / a + 1 / b)
-    best = counts.where("pos >= 3").withColumn("weight", weight).withColumn("sure", sure).where(F.col("sure") >= LEAST_WEIGHT)
-    rows = best.orderBy(F.desc("sure"), "term", "stem").collect()
+    counts = cut(counts, "toxic-terms")
+    # toxic texts may be longer than others: chance gives a term as many of them as there are words in them
+    of_all = counts.agg(F.sum("pos").alias("pos"), F.sum(F.col("pos") + F.col("neg")).alias("all"), F.count_if(F.col("pos") >= LEAST_TEXTS).alias("n")).first()
+    candidates, base = of_all["n"], of_all["pos"] / of_all["all"] if of_all["all"] else 0.5
+    counts = counts.where(F.col("pos") >= LEAST_TEXTS)
+    # how unlikely so many toxic ones among the texts with a term are by chance, as a bound, against so many terms looked at
+    share = F.col("pos") / (F.col("pos") + F.col("neg"))
+    apart = share * F.log(share / base) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    told = (F.col("pos") + F.col("neg")) * apart >= float(np.log(max(1, candidates) / BY_CHANCE))
+    best = counts.withColumn("weight", weight).withColumn("sure", sure).where((F.col("sure") >= LEAST_WEIGHT) & told)
+    best = cut(best, "toxic-best")
+    # the same for the different neighbourhoods of a term in place of its texts: a passage of many texts has one
+    seen = _neighbourhoods(sample, {(r["term"], r["stem"]) for r in best.select("term", "stem").collect()})
+    told = F.least("pos", "places") * float(-np.log(base)) >= float(np.log(max(1, candidates) / BY_CHANCE))
+    rows = best.join(seen, ["term", "stem"]).where(told).orderBy(F.desc("sure"), "term", "stem").collect()
     lexicon = Lexicon(chosen([(r["term"], bool(r["stem"]), float(r["weight"]), r["pos"], r["sure"]) for r in rows]))
     held = sample.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -399,7 +459,10 @@ def _context(each: DataFrame) -> dict[str, float]:
     near = each.select("at", "y", F.explode("h.around").alias("w")).distinct().groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
     odds = F.log(a / (texts[1] + 1)) - F.log(b / (texts[0] + 1))
-    told = near.withColumn("odds", odds).where(F.abs("odds") - 2 * F.sqrt(1 / a + 1 / b) >= LEAST_CONTEXT)
+    told = cut(near.withColumn("odds", odds), "toxic-context")
+    # odds that chance doesn't explain, among so many words
+    least = float(np.sqrt(2 * np.log(max(1, told.count()) / BY_CHANCE)))
+    told = told.where(F.abs("odds") - least * F.sqrt(1 / a + 1 / b) >= LEAST_CONTEXT)
     return {r["w"]: float(r["odds"]) for r in told.select("w", "odds").collect()}
 
 
