@@ -128,6 +128,7 @@ class Lexicon:
         self.one: set[str] = set()
         self.two: set[str] = set()
         self.thirds: dict[int, tuple[set[str], set[str], set[str]]] = {}
+        self.places: dict[int, list[tuple[int, int, set[str]]]] = {}
         self.longest = max((len(e[0]) for e in self.entries if not e[1]), default=0)
         for term, stem, weight, fuzzy in self.entries:
             self.trie.add(term, stem, weight)
@@ -163,30 +164,50 @@ class Lexicon:
     def _cuts(n: int) -> tuple[tuple[int, int], ...]:
         return (0, n // 3), (n // 3, 2 * n // 3), (2 * n // 3, n)
 
-    def _two_edits(self, word: str) -> bool:
-        """False only for words two edits off no term: two edits leave one third of a term as it is, moved by two places
-        at most, and they leave something of both without two letters."""
-        n = len(word)
+    def _places(self, n: int) -> list[tuple[int, int, set[str]]]:
+        """Where a word of n letters holds a third of a term that two edits left as it is, moved by two places at most."""
+        found: dict[tuple[int, int], set[str]] = {}
         for size in range(max(TWO_EDITS, n - 2), n + 3):
             if size in self.thirds:
                 for part, (i, j) in zip(self.thirds[size], self._cuts(size), strict=True):
-                    moved = range(i, i + 1) if i == 0 else range(n - (j - i), n - (j - i) + 1) if j == size else range(i - 2, i + 3)
-                    if any(word[k : k + j - i] in part for k in moved):
-                        return not self.two.isdisjoint(self._left(word, 2))
+                    for k in [i] if i == 0 else [n - (j - i)] if j == size else range(i - 2, i + 3):
+                        found.setdefault((k, k + j - i), set()).update(part)
+        return [(i, j, held) for (i, j), held in found.items()]
+
+    def _two_edits(self, word: str) -> bool:
+        """False only for words two edits off no term."""
+        places = self.places.get(len(word))
+        if places is None:
+            places = self.places[len(word)] = self._places(len(word))
+        for i, j, held in places:
+            if word[i:j] in held:
+                return not self.two.isdisjoint(self._left(word, 2))
+        return False
+
+    def _one_edit(self, word: str) -> bool:
+        one = self.one
+        if word in one:
+            return True
+        for i in range(len(word)):
+            if word[:i] + word[i + 1 :] in one:
+                return True
         return False
 
     def look(self, word: str) -> tuple[float, float]:
         """Weight of a word as a term, and as a misspelled one (0 if it is a term)."""
-        if word in self.whole or any(word[:n] in s for n, s in self.stems.items()):
+        if word in self.whole:
             return self.trie.exact(word), 0.0
+        for n, held in self.stems.items():
+            if word[:n] in held:
+                return self.trie.exact(word), 0.0
         if word in self.ordinary:
             return 0.0, 0.0
         near = 0.0 if word.isalpha() else self.fuzzy.masked(word)
         # the automata run where they can end: most words leave nothing that a term does
         n = len(word)
-        if ONE_EDIT - 1 <= n <= self.longest + 1 and (word in self.one or any(word[:i] + word[i + 1 :] in self.one for i in range(n))):
+        if ONE_EDIT - 1 <= n <= self.longest + 1 and self._one_edit(word):
             near = max(near, self.fuzzy.near(word, 1, ONE_EDIT, True))
-        if n >= TWO_EDITS - 2 and self._two_edits(word):
+        if TWO_EDITS - 2 <= n <= self.longest + 2 and self._two_edits(word):
             near = max(near, self.fuzzy.near(word, 2, TWO_EDITS, False))
         return 0.0, near
 
