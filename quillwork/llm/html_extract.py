@@ -44,6 +44,8 @@ FRAME_WORDS = frozenset(
     "mobile module more o on outer page panel pane post posts primary read row secondary section see site slot small sticky story the this title "
     "to top u ui unit us widgets wp wrap wrapper you".split()
 )
+#: Elements of prose: without a class or id of their own, what they say is the article's, however often it is said.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th caption figcaption summary".split())
 #: An id names the element itself for these; on headings and paragraphs it is an anchor of the text.
 NAMED_BY_ID = frozenset("div section aside ul ol dl table span".split())
 
@@ -229,8 +231,8 @@ def _least(blocks: list[str], known: WordHashes) -> list[int]:
 
 
 class Subtree(NamedTuple):
-    """A block element below an article, main or page root: hash of its kinds, names and texts, and the blocks of
-    text it holds, [start, end)."""
+    """A block element below an article, main or page root, plain paragraphs and the like aside: hash of its kinds, names
+    and texts, and the blocks of text it holds, [start, end)."""
 
     hash: int
     start: int
@@ -274,7 +276,8 @@ def read(page: str) -> Page:
                 body = xxhash.xxh3_64_intdigest("\x00".join(said.pop()).encode("utf-8", "surrogatepass"))
                 if said:
                     said[-1].append(f"{body:x}")
-                if x is not top and x.tag in BLOCK and x.tag not in ("html", "body", "main", "article") and len(blocks) > start:
+                plain = x.tag in PROSE and not (x.attributes and ("class" in x.attributes or "id" in x.attributes))
+                if x is not top and x.tag in BLOCK and not plain and x.tag not in ("html", "body", "main", "article") and len(blocks) > start:
                     found.append(Subtree(body - (1 << 63), start, len(blocks)))
             elif x.tag in ("br", "wbr"):
                 pending.append(" " if x.tag == "br" else "")
