@@ -73,11 +73,20 @@ def sample_rate(frames: Column, seconds: Column) -> Column:
     return F.coalesce(F.try_divide(frames.cast("double"), seconds), F.lit(0.0))
 
 
+def milliseconds(t: Column) -> Column:
+    """Seconds rounded to three digits by their product with 1000, as SQL engines do; F.round(t, 3) goes by the
+    decimal digits and makes 258.1 of 258.0995, whose product is 258099.49999999997."""
+    return F.round(t * 1000.0) / 1000.0
+
+
 def segment_rows(windows: DataFrame, has_frames: Column, n_frames: int) -> DataFrame:
-    """Modality and evenly spread frame times of window rows (start_sec, end_sec)."""
-    step = (F.col("end_sec") - F.col("start_sec")) / max(1, n_frames)
-    times = F.transform(F.sequence(F.lit(0), F.lit(n_frames - 1)), lambda i: F.round(F.col("start_sec") + step * i, 3))
-    return windows.withColumn("modality", F.when(has_frames, "frames").otherwise("audio")).withColumn("end_sec", F.round("end_sec", 3)).withColumn("frame_times", F.when(has_frames, times))
+    """Modality and evenly spread frame times of window rows (start_sec, end_sec). The end is rounded last, as
+    a column of its own step: frame times follow from the end as given."""
+    start, end = F.col("start_sec"), F.col("end_sec")
+    step = (end - start) / max(1, n_frames)
+    times = F.transform(F.sequence(F.lit(0), F.lit(n_frames - 1)), lambda i: milliseconds(start + step * i))
+    out = windows.withColumn("frame_times", F.when(has_frames, times)).withColumn("modality", F.when(has_frames, "frames").otherwise("audio"))
+    return out.withColumn("end_sec", milliseconds(end))
 
 
 # Frames and pixels of each rung of the budget ladder.

@@ -369,3 +369,11 @@ def test_clip_summaries(spark):
         assert part in got[6].summary
     assert "You were downed by Mosin from Sam" in got[7].summary and "visible loadout: Mosin, Knife" in got[7].summary
     assert got[8].summary == "Gameplay clip from Hunt Showdown named 'an untitled capture'." and got[8].title == "Gameplay Clip" and got[8].key_moments == []
+
+
+def test_segment_frames_follow_the_unrounded_end(spark):
+    """Rows of conversations at sf0.01, whose third frame differed from SQL, and halves of a millisecond."""
+    rows = spark.createDataFrame([(1, 0.0, 5.8500000000000005), (2, 17.4, 22.349999999999998), (3, 258.0995, 258.0995), (4, 0.0, 1.0625)], "id int, start_sec double, end_sec double")
+    got = {r.id: (r.end_sec, r.frame_times) for r in media.segment_rows(rows, F.col("id") != 4, 4).collect()}
+    assert got[1] == (5.85, [0.0, 1.463, 2.925, 4.388]) and got[2][0] == 22.35 and got[2][1][3] == 21.112
+    assert got[3] == (258.099, [258.099] * 4) and got[4] == (1.063, None)
