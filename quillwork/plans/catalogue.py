@@ -11,7 +11,7 @@ from quillwork.functions import convert as C
 from quillwork.functions import text as T
 from quillwork.functions import vectors as V
 from quillwork.operators import contracts, fusion, knowledge, ledger, relational, summary, tagging, timeline
-from quillwork.plans.views import CLIPS, DET, SCORED, TRANS, VEC, clips, cos_sql, detections, load, query_vector, transcripts, vec_points
+from quillwork.plans.views import CLIPS, DET, SCORED, TRANS, VEC, clips, cos_sql, detections, load, query_vector, spread, transcripts, vec_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -760,7 +760,8 @@ def alias_resolve(spark, sf):
     words = F.split(T.alias_key(F.col("text")), " ")
     a = load(spark, sf, "benchmark").select(F.array_join(F.slice(words, 1, 2), " ").alias("alias")).distinct()
     a = a.select("alias", F.col("alias").alias("entity"), F.lit(False).alias("is_variant"))
-    return knowledge.alias_matches(load(spark, sf, "documents"), a, "doc_id", "text").select("doc_id", "alias")
+    texts = spread(load(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return knowledge.alias_matches(texts, a, "doc_id", "text").select("doc_id", "alias")
 
 
 _TOKC = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) > 1))"

@@ -12,6 +12,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a file that few tasks hold over more of them, by key: a row group is one task however large it is.
+    What fills the cores already, small tables and inputs of over 1,000 splits stay as they are read. The count
+    reads no column."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() > 1000:
+        return rows
+    held, n = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = min(4 * cores, n // 1000)
+    return rows if held >= min(cores, parts) else rows.repartition(parts, key)
+
+
 def vec_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """embeddings as points of clips in six fields; a clip may have several in one."""
     field = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), (F.expr("(vec_id div 60) % 6") + 1).cast("int"))

@@ -377,3 +377,45 @@ def test_segment_frames_follow_the_unrounded_end(spark):
     got = {r.id: (r.end_sec, r.frame_times) for r in media.segment_rows(rows, F.col("id") != 4, 4).collect()}
     assert got[1] == (5.85, [0.0, 1.463, 2.925, 4.388]) and got[2][0] == 22.35 and got[2][1][3] == 21.112
     assert got[3] == (258.099, [258.099] * 4) and got[4] == (1.063, None)
+
+
+def test_aliases_in_one_pass_over_texts(spark, monkeypatch):
+    """Many aliases with one first word, parts and doubles of others, against every pair; neither texts nor words
+    are shuffled, however many blocks the aliases take."""
+    import itertools
+
+    words = ["the", "red", "dog", "96", "a1"]
+    names = [" ".join(p) for n in (1, 2, 3, 4) for p in itertools.product(words, repeat=n) if sum(map(len, p)) % 3 == 0 or p[0] == "the" and n > 2]
+    names = [n for n in names if n != "the"] + ["", "a b", "red  dog", "dog ", "Red", "red-dog", "ment"]
+    rows = [(n, f"e{i % 7}", i % 2 == 0) for i, n in enumerate(names)] + [(n, "e", True) for n in names[::5]] + [(None, "none", False)]
+    aliases = spark.createDataFrame(rows, "alias string, entity string, is_variant boolean")
+    texts = [(i, "-".join(p).title()) for i, p in enumerate(itertools.product([*words, "x", "é", "other"], repeat=3))]
+    texts += [(10000, None), (10001, ""), (10002, "the | red, a dog"), (10003, "x " * 9 + "the")]
+
+    def best(t):
+        own = [w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split() if len(w) > 1]
+        may = [(-len(a), v, e, a) for a, e, v in rows if a and f" {a} " in f" {' '.join(own)} " and len(a.split(" ")[0]) > 1]
+        return min(may)[2:] if may else None
+
+    want = {i: best(t) for i, t in texts if best(t)}
+    df = spark.createDataFrame(texts, "id int, t string")
+    for size in (4 << 20, 1000):
+        monkeypatch.setattr(knowledge, "ALIAS_BYTES", size, raising=False)
+        monkeypatch.setattr(knowledge, "TEXT_BYTES", 200, raising=False)
+        out = knowledge.alias_matches(df, aliases, "id", "t")
+        assert {r.id: (r.entity, r.alias) for r in out.collect()} == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan and (size == 1000 or "Exchange" not in plan)
+    assert knowledge.alias_matches(df, aliases.limit(0), "id", "t").collect() == []
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    from quillwork.plans.views import spread
+
+    for n, most in ((9000, 9), (900, 1)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / str(n)))
+        out = spread(spark.read.parquet(str(tmp_path / str(n))), "id")
+        held = out.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in held) == n and (1 < len(held) <= most if most > 1 else len(held) == 1)
+    full = spark.range(0, 9000, 1, 64)
+    assert spread(full, "id") is full
